@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -145,7 +145,7 @@ def run_summary(samples: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def completion_detect(
-    samples: DataFrame, documents: int, stable_s: float = STABLE_SECONDS, idle_cores: float = IDLE_CORES
+    samples: DataFrame, documents: int | Column, stable_s: float = STABLE_SECONDS, idle_cores: float = IDLE_CORES
 ) -> DataFrame:
     """When each run was done: run_id, done_at_s, duration_s (NULL if never).
 

@@ -85,18 +85,22 @@ def snapshot_upsert(store: DataFrame, deletes: DataFrame, inserts: DataFrame) ->
     return kept.select(*store.columns).unionByName(inserts.select(*store.columns))
 
 
-def changelog_latest(
-    feed: DataFrame, keys: list[str], seq: str, op: str = "op", delete: str = "delete"
-) -> DataFrame:
-    """Live rows of an ordered feed of upserts and deletes.
+def last_per_key(feed: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The row with the highest ``seq`` of every key.
 
-    The last row of a key is a ``max_by`` aggregate, combined in each task
-    before the shuffle, so a key with a third of all rows costs no more than
-    any other.
+    A ``max_by`` aggregate, combined in each task before the shuffle, so a key
+    with a third of all rows costs no more than any other.
     """
     rest = [c for c in feed.columns if c not in keys]
     last = feed.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_last"))
-    return last.where(F.col(f"_last.{op}") != delete).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def changelog_latest(
+    feed: DataFrame, keys: list[str], seq: str, op: str = "op", delete: str = "delete"
+) -> DataFrame:
+    """Live rows of an ordered feed of upserts and deletes."""
+    return last_per_key(feed, keys, seq).where(F.col(op) != delete)
 
 
 # Which backends take native JSON metadata, keep the chunk key,

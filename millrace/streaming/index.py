@@ -125,8 +125,7 @@ def stream_index(
     store.create()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        latest = changelog_latest(batch.withColumn("_op", F.col("op")), ["doc_key"], "seq", op="_op", delete="")
-        inserts = chunk_rows(latest.where(F.col("op") != "delete"), meta_columns, opts)
+        inserts = chunk_rows(changelog_latest(batch, ["doc_key"], "seq"), meta_columns, opts)
         removed = batch.select("doc_key").distinct()
         if store.apply(batch_id, removed, inserts):
             if opts.on_batch:
