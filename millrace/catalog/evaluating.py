@@ -121,7 +121,7 @@ def accuracy_misses(spark, sf_dir):
 
 _SAMPLES = (
     "samples AS (SELECT event_type AS run_id, event_id AS seq, s AS elapsed_s, value * 10 AS rss_mb, value * 8 AS pss_mb, s * 20 + value * 100 AS cpu_s, "
-    "event_id - event_id % 97 AS chunks, event_id * 0.5::DOUBLE AS store_mb FROM (SELECT *, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS s FROM events))"
+    "event_id - event_id % 97 AS chunks, event_id * 0.5::DOUBLE AS store_mb FROM (SELECT *, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS s FROM events))"
 )
 
 

@@ -86,7 +86,8 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as measurements of indexing runs, one run per event type."""
     e = events(spark, sf_dir, "event_id", "ts", "event_type", "value")
-    seconds = F.unix_micros("ts") / 1e6 - F.lit(1704067200.0)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.timestamp_diff("MICROSECOND", start, F.col("ts")) / 1e6
     return e.select(
         F.col("event_type").alias("run_id"),
         F.col("event_id").alias("seq"),

@@ -231,7 +231,7 @@ def parse_rating(spark, sf_dir):
 
 _REPLIES = (
     "replies AS (SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS query, "
-    "'1. ' || replace(a.text, chr(10), chr(10) || '- 2) ') || chr(10) || ' ' || upper(u.text) || ' ' || chr(10) || '*' AS reply "
+    "'1. ' || replace(a.text, chr(10), chr(10) || '- 2) ') || chr(10) || ' ' || lower(u.text) || ' ' || chr(10) || '*' AS reply "
     "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 )
 
@@ -247,7 +247,7 @@ def decompose_parse(spark, sf_dir):
     )
     # The answer as a numbered and dashed list that also repeats the question.
     reply = F.concat(
-        F.lit("1. "), F.replace("said", F.lit("\n"), F.lit("\n- 2) ")), F.lit("\n "), F.upper("query"), F.lit(" \n*")
+        F.lit("1. "), F.replace("said", F.lit("\n"), F.lit("\n- 2) ")), F.lit("\n "), F.lower("query"), F.lit(" \n*")
     )
     replies = user.join(answers, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", reply.alias("reply")

@@ -163,16 +163,21 @@ def sub_query_ctes(name: str, replies: str, limit: int = 4) -> list[str]:
 def mmr3_ctes(name: str, pool: str, diversity: float = 0.3) -> list[str]:
     """CTE of the greedy choice of three from CTE ``pool`` (query_id, rank, score, embedding, id)."""
     a, b = 1.0 - diversity, diversity
-    pick = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, rank) = 1"
-    pick_r = "QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY round(v, 9) DESC, r.rank) = 1"
+    def pick(step: int, source: str, value: str) -> str:
+        return (
+            f"{name}_{step} AS MATERIALIZED (SELECT * FROM (SELECT r.*, {value} AS v FROM {source}) "
+            "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, rank) = 1)"
+        )
+
     p = name
+    first = f"{p}_r r JOIN {p}_1 x ON r.query_id = x.query_id AND r.rank <> x.rank"
+    second = f"{first} JOIN {p}_2 y ON r.query_id = y.query_id AND r.rank <> y.rank"
+    to_x, to_y = cosine("r.embedding", "x.embedding"), cosine("r.embedding", "y.embedding")
     return [
         f"{p}_r AS MATERIALIZED (SELECT *, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.0) AS rel FROM {pool} WINDOW w AS (PARTITION BY query_id))",
-        f"{p}_1 AS MATERIALIZED (SELECT *, {a}::DOUBLE * rel AS v FROM {p}_r {pick})",
-        f"{p}_2 AS MATERIALIZED (SELECT r.*, {a}::DOUBLE * r.rel - {b}::DOUBLE * {cosine('r.embedding', 'x.embedding')} AS v "
-        f"FROM {p}_r r JOIN {p}_1 x ON r.query_id = x.query_id AND r.rank <> x.rank {pick_r})",
-        f"{p}_3 AS MATERIALIZED (SELECT r.*, {a}::DOUBLE * r.rel - {b}::DOUBLE * greatest({cosine('r.embedding', 'x.embedding')}, {cosine('r.embedding', 'y.embedding')}) AS v "
-        f"FROM {p}_r r JOIN {p}_1 x ON r.query_id = x.query_id AND r.rank <> x.rank JOIN {p}_2 y ON r.query_id = y.query_id AND r.rank <> y.rank {pick_r})",
+        pick(1, f"{p}_r r", f"{a}::DOUBLE * r.rel"),
+        pick(2, first, f"{a}::DOUBLE * r.rel - {b}::DOUBLE * {to_x}"),
+        pick(3, second, f"{a}::DOUBLE * r.rel - {b}::DOUBLE * greatest({to_x}, {to_y})"),
         f"{p} AS (SELECT *, 1 AS place FROM {p}_1 UNION ALL SELECT *, 2 AS place FROM {p}_2 UNION ALL SELECT *, 3 AS place FROM {p}_3)",
     ]
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
@@ -89,7 +90,7 @@ def fetch_changed(changed: DataFrame) -> DataFrame:
     Only listed rows are opened, contents are never shuffled, and a failed
     read leaves ``content`` NULL with the reason in ``fetch_error``.
     """
-    schema = changed.schema.add("content", "binary").add("fetch_error", "string")
+    schema = T.StructType(list(changed.schema.fields)).add("content", "binary").add("fetch_error", "string")
     return changed.mapInPandas(_read_objects, schema=schema)
 
 
