@@ -60,14 +60,9 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(chunks(spark, sf_dir), "chunks")
 
 
-def stored_index(spark: SparkSession, rows: DataFrame) -> KeywordIndex:
-    """Index tables written once, as a running system has them."""
-    index = bm25_index(rows)
-    postings = written(index.postings, "postings")
-    doc_len = written(index.doc_len, "doc_len")
-    totals = written(index.totals, "totals")
-    freq = written(KeywordIndex(postings, doc_len, index.term_stats, totals).term_stats, "term_stats")
-    return KeywordIndex(postings, doc_len, freq, totals)
+def stored_index(rows: DataFrame, queries: DataFrame | None = None) -> KeywordIndex:
+    """The index over postings written once, as a running system has them."""
+    return bm25_index(rows, queries).kept()
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from millrace.catalog import sql as q
 from millrace.functions import vectors as vx
 from millrace.operators import chunk, embed
 from millrace.operators import store as st
-from millrace.operators.keyword import bm25_index
 from millrace.operators.keyword import bm25_refresh as refresh
 from millrace.session import new_dir, written
 
@@ -140,7 +139,7 @@ def embed_static(spark, sf_dir):
     docs = frames.table(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
     known = frames.vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("vec"))
     n = known.agg(F.count(F.lit(1)).alias("n")).scalar()
-    terms = docs.select(F.explode(tx.words(F.col("text"))).alias("term")).distinct()
+    terms = docs.select(F.explode_outer(tx.words(F.col("text"))).alias("term")).distinct().where("term IS NOT NULL")
     vec_id = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % n
     lookup = written(terms.withColumn("vec_id", vec_id).join(known, "vec_id").select("term", "vec"), "lookup")
     e = embed.embed_static(docs, lookup, 64, key="doc_id")
@@ -368,7 +367,7 @@ def index_stats(spark, sf_dir):
 def bm25_refresh(spark, sf_dir):
     old, new = frames.before_and_after(spark, sf_dir)
     gone, fresh = _changed(old, new)
-    before = chunk.build_chunks(old, frames.META)
+    before = written(chunk.build_chunks(old, frames.META), "chunks")
     deletes = st.retract_chunks(before, gone).select("chunk_id")
-    after = refresh(bm25_index(before), deletes, chunk.build_chunks(fresh, frames.META))
+    after = refresh(frames.stored_index(before), deletes, chunk.build_chunks(fresh, frames.META))
     return after.term_stats.select("term", "df", F.round("idf", 6).alias("idf"))

@@ -98,8 +98,8 @@ def tokenize(spark, sf_dir):
     )
 )
 def bm25_index(spark, sf_dir):
-    index = frames.stored_index(spark, frames.stored_chunks(spark, sf_dir))
-    sums = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    index = frames.stored_index(frames.chunks(spark, sf_dir))
+    sums = index.postings.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
     return sums.join(index.term_stats, "term").select("term", "df", F.round("idf", 6).alias("idf"), "tf", "dl")
 
 
@@ -109,14 +109,15 @@ _WORDS = [*q.CHUNKS, q.QUESTIONS, *q.keyword_ctes("chunks")]
 def _keyword(spark, sf_dir, k):
     rows = frames.stored_chunks(spark, sf_dir)
     asked = frames.questions(spark, sf_dir)
-    hits = keyword.bm25_search(keyword.bm25_index(rows), asked, k)
+    hits = keyword.bm25_search(frames.stored_index(rows, asked), asked, k)
     return rows, asked, keyword.with_chunks(hits, rows, ("text", "metadata_json"), few_hits=True)
 
 
 @query(sql=q.build(f"{_SHOW_SQL} bm", _WORDS, q.keyword_hits("bm", "questions", 5)))
 def bm25_search(spark, sf_dir):
-    rows = frames.stored_chunks(spark, sf_dir)
-    return _shown(keyword.bm25_search(keyword.bm25_index(rows), frames.questions(spark, sf_dir), 5))
+    rows = frames.chunks(spark, sf_dir)
+    asked = frames.questions(spark, sf_dir)
+    return _shown(keyword.bm25_search(frames.stored_index(rows, asked), asked, 5))
 
 
 # --- fusion ---------------------------------------------------------------
@@ -137,7 +138,8 @@ def _legs_sql(k):
 def _legs(spark, sf_dir, k):
     store = frames.store(spark, sf_dir)
     near = vector.vector_topk(store, _asked(spark, sf_dir), k, carry=("text",))
-    hits = keyword.bm25_search(keyword.bm25_index(store), frames.questions(spark, sf_dir), k)
+    asked = frames.questions(spark, sf_dir)
+    hits = keyword.bm25_search(frames.stored_index(store, asked), asked, k)
     words = keyword.with_chunks(hits, store, ("text",), few_hits=True)
     columns = ["query_id", "rank", "score", "chunk_id", "text"]
     return (
@@ -180,7 +182,8 @@ _HYBRID = (
 )
 def hybrid_search(spark, sf_dir):
     store = frames.store(spark, sf_dir)
-    return _shown(rt.hybrid_search(store, keyword.bm25_index(store), _asked(spark, sf_dir), 5))
+    asked = _asked(spark, sf_dir)
+    return _shown(rt.hybrid_search(store, frames.stored_index(store, asked), asked, 5))
 
 
 # --- rescoring and diversity ----------------------------------------------
@@ -303,4 +306,6 @@ def retrieve(spark, sf_dir):
     store = frames.store(spark, sf_dir)
     asked = frames.questions(spark, sf_dir).withColumn("reply", F.col("query"))
     opts = rt.RetrieveOptions(k=3, query_prefix="query: ", decompose=True, rerank=True, mmr=True)
-    return _shown(rt.retrieve(store, keyword.bm25_index(store), asked, opts))
+    # The words of the sub-queries come from the replies.
+    words = asked.withColumn("query", F.concat_ws(" ", "query", "reply"))
+    return _shown(rt.retrieve(store, frames.stored_index(store, words), asked, opts))

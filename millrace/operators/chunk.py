@@ -95,10 +95,12 @@ def chunk_explode(docs: DataFrame, column: str = "chunks") -> DataFrame:
     Equal chunks of one document have one identity; they are dropped inside
     the document's own array, so no shuffle is needed for it.
     """
-    return docs.select(
+    # posexplode_outer: for posexplode, Spark would add filters that cut again.
+    rows = docs.select(
         *[c for c in docs.columns if c not in (column, "text")],
-        F.posexplode(F.array_distinct(column)).alias("pos", "text"),
+        F.posexplode_outer(F.array_distinct(column)).alias("pos", "text"),
     )
+    return rows.where(F.col("pos").isNotNull())
 
 
 def build_chunks(

@@ -15,8 +15,9 @@ from millrace.functions import vectors as vx
 from millrace.plans.skew import at_most, salted_join
 from millrace.session import written
 
-# A lookup table up to this size is broadcast (rows of a few hundred floats).
-MAX_BROADCAST_LOOKUP = 50_000
+# A lookup table of up to this many values (rows x dimensions) is broadcast:
+# 32 million floats are 128 MB.
+MAX_LOOKUP_VALUES = 32_000_000
 
 
 def embed_prefix(df: DataFrame, prefix: str, column: str = "text", out: str = "embed_input") -> DataFrame:
@@ -77,11 +78,13 @@ def embed_static(
     known token get no row.
     """
     counts = (
-        chunks.select(key, F.explode(tx.words(F.col(column))).alias("term"))
+        # explode_outer: for explode, Spark would add filters that tokenise again.
+        chunks.select(key, F.explode_outer(tx.words(F.col(column))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    if at_most(lookup, MAX_BROADCAST_LOOKUP):
+    if at_most(lookup, MAX_LOOKUP_VALUES // dim):
         found = counts.join(F.broadcast(lookup.select("term", "vec")), "term")
     else:
         found = salted_join(counts, lookup.select("term", "vec"), "term", salt_by=key)

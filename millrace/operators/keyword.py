@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.operators.vector import rank_hits
 from millrace.plans.skew import at_most
+from millrace.session import written
 
 # Okapi BM25 parameters.
 K1 = 1.5
@@ -30,64 +31,107 @@ class KeywordIndex:
     """The index as tables.
 
     ``postings`` (chunk_id, dl, term, tf) is laid out by chunk and not by
-    term: a word that every chunk has is then spread over all tasks, and the
-    score of a chunk is complete inside one task. ``term_stats`` is
-    (term, df, idf); ``totals`` is the one row (n, total_len, avgdl).
+    term: a word that every chunk has is then spread over all tasks. Every
+    chunk has at least one row; a NULL term stands for the words left out.
+    ``term_stats`` is (term, df, idf), ``totals`` the one row (n, total_len,
+    avgdl). ``by_chunk`` says that Spark knows the postings to be hashed by
+    chunk, so that a chunk's score needs no further shuffle.
     """
 
     postings: DataFrame
-    doc_len: DataFrame
     term_stats: DataFrame
     totals: DataFrame
-
-    def save(self, root: str) -> None:
-        for name in ("postings", "doc_len", "term_stats", "totals"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    by_chunk: bool = False
+
+    def kept(self) -> "KeywordIndex":
+        """The same index over postings written once to the shared folder."""
+        return _index(written(self.postings, "postings"), by_chunk=False)
+
+    def save(self, root: str) -> "KeywordIndex":
+        """Write the tables below ``root`` and return the index over the files."""
+        spark = self.postings.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{root}/postings")
+        # The small tables follow from the postings as written.
+        kept = _index(spark.read.parquet(f"{root}/postings"), by_chunk=False)
+        kept.totals.write.mode("overwrite").parquet(f"{root}/totals")
+        totals = spark.read.parquet(f"{root}/totals")
+        _term_stats(kept.postings, totals).write.mode("overwrite").parquet(f"{root}/term_stats")
+        return KeywordIndex.load(spark, root)
 
     @staticmethod
-    def load(spark, root: str) -> "KeywordIndex":
-        names = ("postings", "doc_len", "term_stats", "totals")
-        return KeywordIndex(*[spark.read.parquet(f"{root}/{n}") for n in names])
+    def load(spark: SparkSession, root: str) -> "KeywordIndex":
+        return KeywordIndex(*[spark.read.parquet(f"{root}/{n}") for n in ("postings", "term_stats", "totals")])
 
-    def save_tables(self, prefix: str, buckets: int) -> None:
+    def save_tables(self, prefix: str, buckets: int) -> "KeywordIndex":
         """Keep the postings as a table bucketed by chunk: searches then need
         no shuffle but the one of the top k."""
+        spark = self.postings.sparkSession
         self.postings.write.mode("overwrite").bucketBy(buckets, "chunk_id").saveAsTable(f"{prefix}_postings")
-        for name in ("doc_len", "term_stats", "totals"):
+        for name in ("term_stats", "totals"):
             getattr(self, name).write.mode("overwrite").saveAsTable(f"{prefix}_{name}")
-
-
-def _postings(chunks: DataFrame) -> DataFrame:
-    """Term counts per chunk. One shuffle by chunk serves the grouping and all
-    later work on the same chunk."""
-    tokens = tokenize(chunks.select("chunk_id", "text")).select("chunk_id", "tokens").repartition("chunk_id")
-    rows = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tables = [spark.table(f"{prefix}_{n}") for n in ("postings", "term_stats", "totals")]
+        return KeywordIndex(*tables, by_chunk=True)
+
+
+def _postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Term counts per chunk, complete within one shuffle of the texts."""
+    # Tokens are made after the shuffle: texts are smaller than their tokens.
+    tokens = tokenize(chunks.select("chunk_id", "text").repartition("chunk_id"))
+    # explode_outer: for explode, Spark would add filters that tokenise again.
+    rows = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+    if vocabulary is not None:
+        known = F.broadcast(vocabulary.select(F.col("term").alias("_known")))
+        rows = rows.join(known, F.col("term") == F.col("_known"), "left")
+        rows = rows.select("chunk_id", "dl", F.col("_known").alias("term"))
     return rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _doc_len(chunks: DataFrame) -> DataFrame:
-    return tokenize(chunks).select("chunk_id", F.size("tokens").alias("dl"))
+def _doc_len(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
 
 
 def _totals(doc_len: DataFrame) -> DataFrame:
     sums = doc_len.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("dl").cast("bigint")), F.lit(0)).alias("total_len")
     )
+    return _with_avgdl(sums)
+
+
+def _with_avgdl(sums: DataFrame) -> DataFrame:
     return sums.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
 
 
-def _with_idf(df_table: DataFrame, totals: DataFrame) -> DataFrame:
+def _with_idf(freq: DataFrame, totals: DataFrame) -> DataFrame:
     n = totals.select("n").scalar()
-    return df_table.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return freq.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def _freq(postings: DataFrame, sign: int = 1) -> DataFrame:
+    return postings.where(F.col("term").isNotNull()).groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"))
+
 
+def _term_stats(postings: DataFrame, totals: DataFrame) -> DataFrame:
+    return _with_idf(_freq(postings), totals)
 
-def bm25_index(chunks: DataFrame) -> KeywordIndex:
-    """Index ``(chunk_id, text)``."""
-    postings = _postings(chunks)
-    doc_len = _doc_len(chunks)
-    totals = _totals(doc_len)
-    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return KeywordIndex(postings, doc_len, _with_idf(freq, totals), totals)
+
+def _index(postings: DataFrame, by_chunk: bool) -> KeywordIndex:
+    totals = _totals(_doc_len(postings))
+    return KeywordIndex(postings, _term_stats(postings, totals), totals, by_chunk)
+
+
+def bm25_index(chunks: DataFrame, queries: DataFrame | None = None) -> KeywordIndex:
+    """Index ``(chunk_id, text)``.
+
+    For a one-off search give the ``queries``: if their words are few enough
+    to broadcast, only those get postings, all other words of a chunk share
+    one row. Scores are the same.
+    """
+    vocabulary = None
+    if queries is not None:
+        words = tokenize(queries, "query").select(F.explode_outer("tokens").alias("term"))
+        words = words.where(F.col("term").isNotNull()).distinct()
+        vocabulary = words if at_most(words, MAX_BROADCAST_TERMS) else None
+    return _index(_postings(chunks, vocabulary), by_chunk=True)
 
 
 def bm25_refresh(index: KeywordIndex, deletes: DataFrame, inserts: DataFrame) -> KeywordIndex:
@@ -100,38 +144,36 @@ def bm25_refresh(index: KeywordIndex, deletes: DataFrame, inserts: DataFrame) ->
     old = index.postings.join(gone, "chunk_id", "left_semi")
     new = _postings(inserts)
     postings = index.postings.join(gone, "chunk_id", "left_anti").unionByName(new)
-    doc_len = index.doc_len.join(gone, "chunk_id", "left_anti").unionByName(_doc_len(inserts))
-
-    def change(rows: DataFrame, sign: int) -> DataFrame:
-        return rows.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"))
-
     freq = (
         index.term_stats.select("term", "df")
-        .unionByName(change(old, -1))
-        .unionByName(change(new, 1))
+        .unionByName(_freq(old, -1))
+        .unionByName(_freq(new, 1))
         .groupBy("term")
         .agg(F.sum("df").alias("df"))
         .where(F.col("df") > 0)
     )
 
     def size(rows: DataFrame, sign: int) -> DataFrame:
-        return _totals(rows).select((F.col("n") * sign).alias("n"), (F.col("total_len") * sign).alias("total_len"))
+        return _totals(_doc_len(rows)).select(
+            (F.col("n") * sign).alias("n"), (F.col("total_len") * sign).alias("total_len")
+        )
 
     sums = (
         index.totals.select("n", "total_len")
-        .unionByName(size(index.doc_len.join(gone, "chunk_id", "left_semi"), -1))
-        .unionByName(size(_doc_len(inserts), 1))
+        .unionByName(size(old, -1))
+        .unionByName(size(new, 1))
         .agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
     )
-    totals = sums.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
-    return KeywordIndex(postings, doc_len, _with_idf(freq, totals), totals)
+    totals = _with_avgdl(sums)
+    return KeywordIndex(postings, _with_idf(freq, totals), totals)
 
 
 def query_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """Known terms per query with their multiplicity: repeated words count again."""
     asked = (
         tokenize(queries, "query")
-        .select("query_id", F.explode("tokens").alias("term"))
+        .select("query_id", F.explode_outer("tokens").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("mult"))
     )
@@ -142,12 +184,16 @@ def bm25_search(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` chunks per ``(query_id, query)``: query_id, rank, score, chunk_id.
 
     Every chunk that shares a word with the query is scored. A bounded set of
-    query terms is broadcast to the postings, which then stay where they are;
-    a larger one is joined on (term, salt) so that a frequent word is spread.
+    query terms is broadcast; postings are then hashed by chunk at most once
+    (only those of asked words), and scores are complete in one task. A larger
+    set is joined on (term, salt), so that a frequent word is spread.
     """
     terms = query_terms(index, queries)
-    postings = index.postings
-    if at_most(tokenize(queries, "query").select(F.explode("tokens")), MAX_BROADCAST_TERMS):
+    postings = index.postings.where(F.col("term").isNotNull())
+    if at_most(tokenize(queries, "query").select(F.explode_outer("tokens")), MAX_BROADCAST_TERMS):
+        if not index.by_chunk:
+            asked = F.broadcast(terms.select("term").distinct())
+            postings = postings.join(asked, "term", "left_semi").repartition("chunk_id")
         matched = postings.join(F.broadcast(terms), "term")
     else:
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int")

@@ -119,7 +119,7 @@ def decompose_parse(replies: DataFrame, max_subqueries: int = 4) -> DataFrame:
     """
     return replies.select(
         "query_id",
-        F.posexplode(tx.sub_queries(F.col("reply"), F.col("query"), max_subqueries)).alias("list_id", "sub_query"),
+        F.posexplode_outer(tx.sub_queries(F.col("reply"), F.col("query"), max_subqueries)).alias("list_id", "sub_query"),
     )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.skew import spread_join
+
 STORE_SCHEMA = T.StructType(
     [
         T.StructField("chunk_id", T.StringType()),
@@ -72,7 +74,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def retract_chunks(store: DataFrame, changed_docs: DataFrame) -> DataFrame:
     """Stored chunks of removed or edited documents, found without re-reading them."""
-    return store.join(changed_docs.select("doc_key"), "doc_key", "left_semi")
+    return spread_join(store, changed_docs.select("doc_key"), "doc_key", "chunk_id", "left_semi")
 
 
 def snapshot_upsert(store: DataFrame, deletes: DataFrame, inserts: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def snapshot_upsert(store: DataFrame, deletes: DataFrame, inserts: DataFrame) ->
 
     An inserted chunk replaces a stored one of the same id.
     """
-    kept = store.join(deletes.select("doc_key"), "doc_key", "left_anti")
+    kept = spread_join(store, deletes.select("doc_key"), "doc_key", "chunk_id", "left_anti")
     kept = kept.join(inserts.select("chunk_id"), "chunk_id", "left_anti")
     return kept.select(*store.columns).unionByName(inserts.select(*store.columns))
 
@@ -299,7 +301,7 @@ class ChunkStore:
             return rows.drop("ver")
         last = removed.groupBy("doc_key").agg(F.max("ver").alias("_gone"))
         alive = F.col("_gone").isNull() | (F.col("ver") >= F.col("_gone"))
-        return rows.join(last, "doc_key", "left").where(alive).select(*self.schema.names)
+        return spread_join(rows, last, "doc_key", "chunk_id", "left").where(alive).select(*self.schema.names)
 
     def manifest(self) -> DataFrame:
         """The source objects that the current chunks were made from."""

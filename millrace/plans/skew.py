@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1.0 / 256
 HOT_SALTS = 64
 
+# Groups per key where the short side of a join is copied without counting.
+KEY_SALTS = 16
+
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that own more than ``share`` of the rows (at most ``1/share`` rows).
@@ -51,6 +54,19 @@ def salted_join(
     return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str, salts: int = KEY_SALTS
+) -> DataFrame:
+    """Join a table that may hold very many rows per ``key`` to a short table.
+
+    Every key of ``big`` is spread over ``salts`` groups without counting
+    first; the rows of ``small`` (few and narrow) are copied to each.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads at most one more."""
     return df.limit(rows + 1).count() <= rows
