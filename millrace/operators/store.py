@@ -50,14 +50,15 @@ MANIFEST_KEY = ["source_id", "path"]
 MANIFEST_STATE = ["length", "mtime"]
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def snapshot_diff(old: DataFrame, new: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Compare the last manifest with a new listing: one row per object.
 
-    ``change`` is added, modified, deleted or unchanged. Both sides are
-    hashed on the full object key, which is unique, so no source can be hot.
+    ``change`` is added, modified, deleted or unchanged; ``carry`` names more
+    columns of the listing to keep. Both sides are hashed on the full object
+    key, which is unique, so no source can be hot.
     """
     left = old.select(*MANIFEST_KEY, F.struct(*MANIFEST_STATE).alias("old_state"))
-    right = new.select(*MANIFEST_KEY, F.struct(*MANIFEST_STATE).alias("new_state"))
+    right = new.select(*MANIFEST_KEY, F.struct(*MANIFEST_STATE).alias("new_state"), *carry)
     change = (
         F.when(F.col("old_state").isNull(), "added")
         .when(F.col("new_state").isNull(), "deleted")
@@ -69,6 +70,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         change.alias("change"),
         F.col("new_state.length").alias("length"),
         F.col("new_state.mtime").alias("mtime"),
+        *carry,
     )
 
 

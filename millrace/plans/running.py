@@ -42,24 +42,26 @@ def running(
         window = window.rowsBetween(Window.unboundedPreceding, frame_end)
         return df.select("*", *[_over(op, src, window).alias(out) for out, (op, src) in aggs.items()])
 
+    # Each level has its own block column: the level below is keyed by it.
+    name = f"_block{key_bits}"
     block = F.shiftright(F.col(key), bits)
-    totals = df.groupBy(*by, block.alias("_block")).agg(
+    totals = df.groupBy(*by, block.alias(name)).agg(
         *[getattr(F, op)(src).alias(f"_t_{out}") for out, (op, src) in aggs.items()]
     )
     offsets = running(
         totals,
-        "_block",
+        name,
         {f"_o_{out}": (op, f"_t_{out}") for out, (op, _) in aggs.items()},
         by,
         inclusive=False,
         bits=bits,
         key_bits=key_bits - bits,
-    ).select(*by, "_block", *[f"_o_{out}" for out in aggs])
-    window = Window.partitionBy(*by, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, frame_end)
-    inner = df.withColumn("_block", block).select(
+    ).select(*by, name, *[f"_o_{out}" for out in aggs])
+    window = Window.partitionBy(*by, name).orderBy(key).rowsBetween(Window.unboundedPreceding, frame_end)
+    inner = df.withColumn(name, block).select(
         "*", *[_over(op, src, window).alias(f"_w_{out}") for out, (op, src) in aggs.items()]
     )
-    joined = inner.join(offsets, [*by, "_block"])
+    joined = inner.join(offsets, [*by, name])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_fold(op, F.col(f"_o_{out}"), F.col(f"_w_{out}")).alias(out) for out, (op, _) in aggs.items()],

@@ -29,6 +29,8 @@ def source_listing(
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
+        # A file may vanish between the listing and its row.
+        .option("ignoreMissingFiles", "true")
         .load(root)
         .select(
             F.lit(source_id).alias("source_id"),

@@ -59,14 +59,13 @@ def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: Index
     parsed and embedded; the chunks of changed and of vanished objects go.
     Returns whether anything was committed.
     """
-    changes = snapshot_diff(store.manifest(), listing).where(F.col("change") != "unchanged")
-    changes = written(changes, "changes")
+    # Written once, so that every branch below sees the same listing.
+    changes = snapshot_diff(store.manifest(), listing, carry=("name", "suffix"))
+    changes = written(changes.where(F.col("change") != "unchanged"), "changes")
     if changes.isEmpty():
         return False
     key = F.concat_ws(":", "source_id", "path")
-    fresh = changes.where(F.col("change").isin("added", "modified")).join(
-        listing.drop("length", "mtime"), ["source_id", "path"]
-    )
+    fresh = changes.where(F.col("change").isin("added", "modified"))
     # Spread by object: the listing of one folder must not be one task's work.
     fresh = fresh.repartition(F.col("source_id"), F.col("path"))
     docs = parse_documents(fetch_changed(parser_route(fresh, opts.rules, opts.env)), opts.custom_parsers)

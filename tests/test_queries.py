@@ -19,9 +19,17 @@ def con():
     return con
 
 
+def check_plan(df):
+    """No cross join, and no window that puts all rows into one task."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert not [line for line in text.splitlines() if "Window [" in line and "], []" in line]
+
+
 @pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
 def test_same_as_sql(spark, con, name):
     got = entry_points.queries()[name](spark, SMALL)
+    check_plan(got)
     rel = con.execute(entry_points.oracle_sql()[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(got.columns)
