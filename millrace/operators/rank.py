@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as tx
-from millrace.operators.vector import RANK_DIGITS, rank_hits
+from millrace.operators.vector import RANK_DIGITS, rank_hits, rounded
 
 # Fixed value: damping constant of reciprocal-rank fusion.
 RRF_C = 60
@@ -35,7 +35,7 @@ def rrf_fuse(lists: DataFrame, limit: int, c: int = RRF_C) -> DataFrame:
         F.min(F.struct("list_id", "rank")).alias("_seen"),
         F.min_by(F.struct(*rest), F.struct("list_id", "rank")).alias("_row"),
     )
-    window = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("_seen"))
+    window = Window.partitionBy("query_id").orderBy(rounded(F.col("score")).desc(), F.col("_seen"))
     return (
         fused.withColumn("rank", F.row_number().over(window))
         .where(F.col("rank") <= limit)
@@ -78,7 +78,7 @@ def rerank_pointwise(
     Equal scores keep the incoming rank.
     """
     scored = candidates.withColumn("score", scorer(F.col("query"), F.col("text")).cast("double"))
-    window = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DIGITS).desc(), F.col("rank"))
+    window = Window.partitionBy("query_id").orderBy(rounded(F.col("score")).desc(), F.col("rank"))
     return (
         scored.withColumn("_place", F.row_number().over(window))
         .where(F.col("_place") <= k)

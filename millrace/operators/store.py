@@ -11,7 +11,7 @@ removal; ``compact`` folds all versions into one.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,49 +241,74 @@ class ChunkStore:
 
     Layout below ``root``: ``chunks/ver=N`` (new chunks), ``removed/ver=N``
     (keys of removed or replaced documents), ``manifest/ver=N`` (changes of the
-    source listing), ``log`` (one row per commit).
-    Files are never changed; a version counts only once its log row exists,
-    so a crashed batch leaves the old state and is simply run again.
+    source listing), ``log/gen=G`` (one row per commit). Files are never
+    changed; a version counts only once its log row exists, so a crashed batch
+    leaves the old state and is simply run again.
+
+    A reader sees one base version and the changes after it. ``merge`` folds
+    the changes into one, at a cost that follows the changes; ``compact`` folds
+    them into a new base, which rewrites the store.
     """
 
-    LOG = "version BIGINT, batch_id BIGINT, kind STRING"
+    LOG = "version BIGINT, batch_id BIGINT, kind STRING, n_chunks BIGINT"
+    # Log rows in files of their own before the log is written as one file.
+    ROLL = 256
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = STORE_SCHEMA):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self._gen = 0
 
     def create(self) -> "ChunkStore":
         """Make an empty store that can be queried; does nothing if there is one."""
         if not self.exists():
-            self._commit(0, -1, "apply")
+            self._commit(0, -1, "apply", 0)
         return self
 
     def exists(self) -> bool:
         return bool(self._log())
 
-    def _log(self) -> list:
-        # The log has one row per batch since the last compaction's cut.
+    # --- the log: small rows, read on the driver
+
+    def _log_rows(self, gen: int) -> list:
         try:
-            rows = self.spark.read.schema(self.LOG).parquet(f"{self.root}/log").collect()
+            rows = self.spark.read.schema(self.LOG).parquet(f"{self.root}/log/gen={gen}").collect()
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc):
                 return []
             raise
         return sorted(rows, key=lambda r: r["version"])
 
-    def _commit(self, version: int, batch_id: int, kind: str) -> None:
-        row = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(kind).alias("kind"),
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
-
-    def _live_versions(self) -> list[int]:
+    def _log(self) -> list:
+        """Rows of the newest generation; generations follow each other without a gap."""
+        step, rows = 1, self._log_rows(self._gen)
+        while rows and (later := self._log_rows(self._gen + step)):
+            self._gen, rows, step = self._gen + step, later, step * 2
+        while step > 1:
+            step //= 2
+            if later := self._log_rows(self._gen + step):
+                self._gen, rows = self._gen + step, later
+        return rows
+
+    def _write_log(self, gen: int, rows: list) -> None:
+        # One file: it appears whole or not at all.
+        self.spark.createDataFrame(rows, self.LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log/gen={gen}")
+
+    def _commit(self, version: int, batch_id: int, kind: str, n_chunks: int) -> None:
+        self._write_log(self._gen, [(version, batch_id, kind, n_chunks)])
+        rows = self._log_rows(self._gen)
+        if sum(r["version"] > 0 for r in rows) % self.ROLL == 0 and version > 0:
+            self._write_log(self._gen + 1, [tuple(r) for r in rows])
+
+    def _live(self) -> list:
+        """Log rows of the base version (first) and of the changes after it."""
         log = self._log()
         if not log:
             raise IndexNotReady(f"no committed version in {self.root}")
-        base = max((r["version"] for r in log if r["kind"] == "compact"), default=0)
-        return [r["version"] for r in log if r["version"] >= base]
+        base = max((r["version"] for r in log if r["kind"] == "compact"), default=log[0]["version"])
+        merged = max((r["version"] for r in log if r["kind"] == "merge" and r["version"] > base), default=base)
+        return [r for r in log if r["version"] == base or r["version"] >= max(merged, base)]
+
+    # --- reading
 
     def _versions(self, folder: str, schema: T.StructType, versions: list[int]) -> DataFrame | None:
         paths = [f"{self.root}/{folder}/ver={v}" for v in versions if v > 0]
@@ -292,9 +317,8 @@ class ChunkStore:
         full = T.StructType(schema.fields + [T.StructField("ver", T.LongType())])
         return self.spark.read.schema(full).option("basePath", f"{self.root}/{folder}").parquet(*paths)
 
-    def read(self) -> DataFrame:
-        """The current chunks. Later commits do not change a frame already read."""
-        versions = self._live_versions()
+    def _alive(self, versions: list[int]) -> DataFrame:
+        """Chunks of these versions that no later one of them removed."""
         rows = self._versions("chunks", self.schema, versions)
         if rows is None:
             return self.spark.createDataFrame([], self.schema)
@@ -305,12 +329,32 @@ class ChunkStore:
         alive = F.col("_gone").isNull() | (F.col("ver") >= F.col("_gone"))
         return spread_join(rows, last, "doc_key", "chunk_id", "left").where(alive).select(*self.schema.names)
 
+    def read(self) -> DataFrame:
+        """The current chunks. Later commits do not change a frame already read."""
+        return self._alive([r["version"] for r in self._live()])
+
+    def _listed(self, versions: list[int]) -> DataFrame:
+        rows = self._versions("manifest", MANIFEST_SCHEMA, versions)
+        if rows is None:
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return last_per_key(rows, MANIFEST_KEY, "ver").select(*MANIFEST_SCHEMA.names)
+
     def manifest(self) -> DataFrame:
         """The source objects that the current chunks were made from."""
-        rows = self._versions("manifest", MANIFEST_SCHEMA, self._live_versions())
-        if rows is None:
-            return self.spark.createDataFrame([], MANIFEST_SCHEMA).drop("op")
-        return changelog_latest(rows, MANIFEST_KEY, "ver").select(*MANIFEST_KEY, *MANIFEST_STATE)
+        listed = self._listed([r["version"] for r in self._live()])
+        return listed.where(F.col("op") != "delete").drop("op")
+
+    # --- writing
+
+    def _write(self, batch_id: int, kind: str, chunks: DataFrame, removed: DataFrame, manifest: DataFrame) -> None:
+        version = max(r["version"] for r in self._log()) + 1
+        counted = Observation()
+        chunks.select(*self.schema.names).observe(counted, F.count(F.lit(1)).alias("n")).write.mode(
+            "overwrite"
+        ).parquet(f"{self.root}/chunks/ver={version}")
+        removed.select("doc_key").distinct().write.mode("overwrite").parquet(f"{self.root}/removed/ver={version}")
+        manifest.select(*MANIFEST_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/manifest/ver={version}")
+        self._commit(version, batch_id, kind, counted.get["n"])
 
     def apply(
         self, batch_id: int, removed: DataFrame, inserts: DataFrame, manifest: DataFrame | None = None
@@ -321,25 +365,33 @@ class ChunkStore:
         ``inserts`` all chunks of new and edited ones, ``manifest`` the changed
         source objects with ``op`` upsert or delete.
         """
-        log = self._log()
-        if any(r["batch_id"] == batch_id for r in log):
+        if batch_id < 0:
+            raise ValueError("batch ids start at 0")
+        if any(r["batch_id"] == batch_id for r in self.create()._log()):
             return False
-        version = max((r["version"] for r in log), default=0) + 1
-        inserts.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/chunks/ver={version}")
-        removed.select("doc_key").distinct().write.mode("overwrite").parquet(f"{self.root}/removed/ver={version}")
         if manifest is None:
             manifest = self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        manifest.select(*MANIFEST_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/manifest/ver={version}")
-        self._commit(version, batch_id, "apply")
+        self._write(batch_id, "apply", inserts, removed, manifest)
         return True
 
+    def merge(self) -> None:
+        """Fold all changes since the base into one version, leaving the base alone."""
+        changes = [r["version"] for r in self._live()[1:]]
+        if len(changes) > 1:
+            gone = self._versions("removed", T.StructType([self.schema["doc_key"]]), changes)
+            self._write(-1, "merge", self._alive(changes), gone, self._listed(changes))
+
     def compact(self) -> None:
-        """Write the current chunks as one version that replaces all before it."""
-        version = self._live_versions()[-1] + 1
-        self.read().write.mode("overwrite").parquet(f"{self.root}/chunks/ver={version}")
-        self.spark.createDataFrame([], T.StructType([self.schema["doc_key"]])).write.mode("overwrite").parquet(
-            f"{self.root}/removed/ver={version}"
-        )
-        state = self.manifest().withColumn("op", F.lit("upsert"))
-        state.write.mode("overwrite").parquet(f"{self.root}/manifest/ver={version}")
-        self._commit(version, -version - 1, "compact")
+        """Write the current chunks as the new base."""
+        none = self.spark.createDataFrame([], T.StructType([self.schema["doc_key"]]))
+        self._write(-1, "compact", self.read(), none, self.manifest().withColumn("op", F.lit("upsert")))
+
+    def tidy(self, max_changes: int = 64, share: float = 0.5) -> None:
+        """Merge once there are ``max_changes`` versions of changes; compact
+        instead when the changes hold more than ``share`` of the base's chunks."""
+        base, *changes = self._live()
+        if len(changes) >= max_changes:
+            if sum(r["n_chunks"] for r in changes) > share * base["n_chunks"]:
+                self.compact()
+            else:
+                self.merge()

@@ -23,6 +23,11 @@ BLOCK_ROWS = 20_000
 RANK_DIGITS = 9
 
 
+def rounded(score: Column) -> Column:
+    """Ranking key of a score; unlike ``round`` it needs no decimal arithmetic."""
+    return F.rint(score * F.lit(10.0**RANK_DIGITS))
+
+
 def rank_hits(
     scored: DataFrame, k: int, score: Column | None = None, ties: str = "chunk_id", by: str = "query_id"
 ) -> DataFrame:
@@ -30,7 +35,7 @@ def rank_hits(
 
     Spark prunes each task's rows to ``k`` per query before the shuffle.
     """
-    value = F.round(F.col("score") if score is None else score, RANK_DIGITS)
+    value = rounded(F.col("score") if score is None else score)
     window = Window.partitionBy(by).orderBy(value.desc_nulls_last(), F.col(ties))
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 

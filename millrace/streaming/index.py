@@ -37,8 +37,8 @@ class IndexOptions:
     # Called with each committed batch's chunks and removed keys, e.g. to copy
     # them to another store in the shape of ``sink_shape``.
     on_batch: Callable[[int, DataFrame, DataFrame], None] | None = None
-    # Versions after which the store is compacted; None leaves it to the user.
-    compact_every: int | None = 64
+    # Versions of changes after which the store is tidied; None leaves it to the user.
+    tidy_every: int | None = 64
 
 
 def chunk_rows(docs: DataFrame, meta_columns: list[str], opts: IndexOptions) -> DataFrame:
@@ -47,11 +47,6 @@ def chunk_rows(docs: DataFrame, meta_columns: list[str], opts: IndexOptions) ->
     return opts.embed(embed_prefix(chunks, opts.document_prefix)).drop("embed_input")
 
 
-def _maybe_compact(store: ChunkStore, opts: IndexOptions) -> None:
-    if opts.compact_every and len(store._live_versions()) > opts.compact_every:
-        store.compact()
-
-
 def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: IndexOptions) -> bool:
     """Bring the store in step with one listing of the sources.
 
@@ -76,7 +71,8 @@ def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: Index
     if committed:
         if opts.on_batch:
             opts.on_batch(batch_id, store.read().join(fresh.select(key.alias("doc_key")), "doc_key", "left_semi"), removed)
-        _maybe_compact(store, opts)
+        if opts.tidy_every:
+            store.tidy(opts.tidy_every)
     return committed
 
 
@@ -129,7 +125,8 @@ def stream_index(
         if store.apply(batch_id, removed, inserts):
             if opts.on_batch:
                 opts.on_batch(batch_id, store.read().join(removed, "doc_key", "left_semi"), removed)
-            _maybe_compact(store, opts)
+            if opts.tidy_every:
+                store.tidy(opts.tidy_every)
 
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     trigger = {"availableNow": True} if static else {"processingTime": interval}

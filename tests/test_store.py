@@ -138,19 +138,51 @@ def test_incremental_equals_rebuild(spark, folder, kept, tmp_path):
     assert rows(kept.manifest(), "path") == rows(folder.listing(), "path")
 
 
-def test_many_versions_are_compacted(spark, folder, kept):
-    for i in range(4):
-        folder.write("a.txt", f"version {i}")
-        run(folder, kept, i, compact_every=2)
-    assert [r["text"] for r in kept.read().collect()] == ["version 3"]
-    assert len(kept._live_versions()) <= 2
-
-
 def chunks_of(spark, *pairs):
     data = [(f"id-{d}-{t}", d, 0, t, "{}", [1.0]) for d, t in pairs]
     return spark.createDataFrame(data, st.STORE_SCHEMA)
 
 
+def test_many_versions_are_tidied(spark, folder, kept):
+    for i in range(5):
+        folder.write("a.txt", f"version {i}")
+        run(folder, kept, i, tidy_every=2)
+    assert [r["text"] for r in kept.read().collect()] == ["version 4"]
+    assert len(kept._live()) <= 3
+
+
+def test_merge_keeps_the_base_and_folds_the_changes(spark, kept, tmp_path, monkeypatch):
+    monkeypatch.setattr(ChunkStore, "ROLL", 2)  # a new log generation every other commit
+    key = lambda *ks: spark.createDataFrame([(k,) for k in ks], "doc_key string")
+
+    def apply(batch, gone, *pairs):
+        assert kept.apply(batch, key(*gone), chunks_of(spark, *pairs))
+
+    apply(0, ["a", "b", "c", "d"], ("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"))
+    kept.compact()
+    base = kept._live()[0]["version"]
+    apply(1, ["a"], ("a", "2"), ("e", "2"))
+    apply(2, ["b", "e"], ("e", "3"))
+    want = [("a", "2"), ("c", "1"), ("d", "1"), ("e", "3")]
+    assert rows(kept.read(), "doc_key", "text") == want
+    kept.merge()
+    live = kept._live()
+    assert [r["kind"] for r in live] == ["compact", "merge"] and live[0]["version"] == base
+    assert rows(kept.read(), "doc_key", "text") == want
+    apply(3, ["a", "c"], ("c", "4"))
+    want = [("c", "4"), ("d", "1"), ("e", "3")]
+    assert rows(kept.read(), "doc_key", "text") == want
+    kept.tidy(max_changes=2, share=0.9)
+    assert [r["kind"] for r in kept._live()] == ["compact", "merge"]
+    kept.tidy(max_changes=1, share=0.1)
+    assert [r["kind"] for r in kept._live()] == ["compact"]
+    assert rows(kept.read(), "doc_key", "text") == want
+    # A reader that starts later finds the newest log generation; ids stay known.
+    later = ChunkStore(spark, kept.root)
+    assert rows(later.read(), "doc_key", "text") == want and later._gen >= 3
+    assert not later.apply(2, key("d"), chunks_of(spark))
+
+
 def test_replayed_batch_is_skipped_and_crash_leaves_old_state(spark, kept):
     keys = spark.createDataFrame([("d1",)], "doc_key string")
     assert kept.apply(7, keys, chunks_of(spark, ("d1", "x")))
