@@ -11,7 +11,7 @@ removal; ``compact`` folds all versions into one.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,7 +261,7 @@ class ChunkStore:
     def create(self) -> "ChunkStore":
         """Make an empty store that can be queried; does nothing if there is one."""
         if not self.exists():
-            self._commit(0, -1, "apply", 0)
+            self._commit([], 0, -1, "apply", 0)
         return self
 
     def exists(self) -> bool:
@@ -293,11 +293,11 @@ class ChunkStore:
         # One file: it appears whole or not at all.
         self.spark.createDataFrame(rows, self.LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log/gen={gen}")
 
-    def _commit(self, version: int, batch_id: int, kind: str, n_chunks: int) -> None:
-        self._write_log(self._gen, [(version, batch_id, kind, n_chunks)])
-        rows = self._log_rows(self._gen)
-        if sum(r["version"] > 0 for r in rows) % self.ROLL == 0 and version > 0:
-            self._write_log(self._gen + 1, [tuple(r) for r in rows])
+    def _commit(self, log: list, version: int, batch_id: int, kind: str, n_chunks: int) -> None:
+        row = (version, batch_id, kind, n_chunks)
+        self._write_log(self._gen, [row])
+        if log and len(log) % self.ROLL == 0:
+            self._write_log(self._gen + 1, [*map(tuple, log), row])
 
     def _live(self) -> list:
         """Log rows of the base version (first) and of the changes after it."""
@@ -346,15 +346,16 @@ class ChunkStore:
 
     # --- writing
 
-    def _write(self, batch_id: int, kind: str, chunks: DataFrame, removed: DataFrame, manifest: DataFrame) -> None:
-        version = max(r["version"] for r in self._log()) + 1
-        counted = Observation()
-        chunks.select(*self.schema.names).observe(counted, F.count(F.lit(1)).alias("n")).write.mode(
-            "overwrite"
-        ).parquet(f"{self.root}/chunks/ver={version}")
+    def _write(
+        self, log: list, batch_id: int, kind: str, chunks: DataFrame, removed: DataFrame, manifest: DataFrame
+    ) -> None:
+        version = log[-1]["version"] + 1
+        path = f"{self.root}/chunks/ver={version}"
+        chunks.select(*self.schema.names).write.mode("overwrite").parquet(path)
         removed.select("doc_key").distinct().write.mode("overwrite").parquet(f"{self.root}/removed/ver={version}")
         manifest.select(*MANIFEST_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/manifest/ver={version}")
-        self._commit(version, batch_id, kind, counted.get["n"])
+        # A count of whole files is answered from their footers.
+        self._commit(log, version, batch_id, kind, self.spark.read.schema(self.schema).parquet(path).count())
 
     def apply(
         self, batch_id: int, removed: DataFrame, inserts: DataFrame, manifest: DataFrame | None = None
@@ -367,11 +368,12 @@ class ChunkStore:
         """
         if batch_id < 0:
             raise ValueError("batch ids start at 0")
-        if any(r["batch_id"] == batch_id for r in self.create()._log()):
+        log = self._log() or self.create()._log()
+        if any(r["batch_id"] == batch_id for r in log):
             return False
         if manifest is None:
             manifest = self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        self._write(batch_id, "apply", inserts, removed, manifest)
+        self._write(log, batch_id, "apply", inserts, removed, manifest)
         return True
 
     def merge(self) -> None:
@@ -379,12 +381,12 @@ class ChunkStore:
         changes = [r["version"] for r in self._live()[1:]]
         if len(changes) > 1:
             gone = self._versions("removed", T.StructType([self.schema["doc_key"]]), changes)
-            self._write(-1, "merge", self._alive(changes), gone, self._listed(changes))
+            self._write(self._log(), -1, "merge", self._alive(changes), gone, self._listed(changes))
 
     def compact(self) -> None:
         """Write the current chunks as the new base."""
         none = self.spark.createDataFrame([], T.StructType([self.schema["doc_key"]]))
-        self._write(-1, "compact", self.read(), none, self.manifest().withColumn("op", F.lit("upsert")))
+        self._write(self._log(), -1, "compact", self.read(), none, self.manifest().withColumn("op", F.lit("upsert")))
 
     def tidy(self, max_changes: int = 64, share: float = 0.5) -> None:
         """Merge once there are ``max_changes`` versions of changes; compact
