@@ -129,8 +129,8 @@ def bm25_index(chunks: DataFrame, queries: DataFrame | None = None) -> KeywordIn
     vocabulary = None
     if queries is not None:
         words = tokenize(queries, "query").select(F.explode_outer("tokens").alias("term"))
-        words = words.where(F.col("term").isNotNull()).distinct()
-        vocabulary = words if at_most(words, MAX_BROADCAST_TERMS) else None
+        if at_most(words, MAX_BROADCAST_TERMS):
+            vocabulary = words.where(F.col("term").isNotNull()).distinct()
     return _index(_postings(chunks, vocabulary), by_chunk=True)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +30,26 @@ def build_session(app: str = "millrace", cores: int | str | None = None, **conf)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    A cluster job may pass it with ``--py-files`` instead.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="millrace-code-"), "millrace")
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", parent, "millrace"))
+        # Stateful streams also start a Python worker beside the driver, which
+        # knows only the path of the environment.
+        env = spark.sparkContext.environment
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), parent]))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``.
 

@@ -1,5 +1,9 @@
 """Every query with a SQL counterpart gives the same rows on DuckDB."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -44,6 +48,21 @@ def test_rows_only(spark, name):
     assert entry_points.queries()[name](spark, SMALL).count() > 0
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """Python workers get the package from the session, not from the current folder."""
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "for name in ('chunk_recursive', 'stream_retract'):\n"
+        "    assert e.queries()[name](spark, sys.argv[2]).count() > 0\n"
+    )
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", script, root, SMALL], cwd=tmp_path, capture_output=True, timeout=300)
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
+
+
 def test_entry(spark):
     out = entry_points.entry(spark)
     assert out.count() > 0
