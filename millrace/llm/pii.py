@@ -19,8 +19,12 @@ IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 ISO_DATE = EDGE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + END
 DAY_DATE = r"(?<![0-9A-Za-z./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}" + r"(?![0-9A-Za-z]|[./][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
-CARD = EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + END
+PHONE = (
+    r"(?<![0-9A-Za-z+])\+(?:1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|[0-9]{1,3}(?<gap>[ .-])[0-9]{2,4}(?:\k<gap>[0-9]{2,4}){1,4}|[0-9]{8,15})(?![0-9A-Za-z])"
+)
+# Unbroken, or in the groups that cards print.
+CARD = EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?<mark>[ -])[0-9]{4}\k<mark>[0-9]{4}\k<mark>[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + END
 
 
 def _digits(value: Column) -> Column:
@@ -95,10 +99,9 @@ def _phone_valid(value: Column) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
+    """The country code stays where a mark ends it; the other digits are permuted."""
+    code = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[^0-9]))?", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
-    # A number without a mark after its country code is permuted after the plus sign.
     return let(_digits(rest), lambda d: F.concat(code, _fill(rest, feistel(d, _radices(d, 10), key, "phone"))))
 
 
@@ -233,9 +236,9 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kin
 
     def woven(hits: Column) -> Column:
         pieces = F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(hits, i)["text"], F.lit(""))))
-        counts = [F.size(F.filter(hits, lambda h, k=k: h["kind"] == k)) for k in range(len(kinds))]
+        of_kind = F.transform(F.array(*map(F.lit, range(len(kinds)))), lambda k: F.size(F.filter(hits, lambda h: h["kind"] == k)))
         whole = F.when(F.size(hits) == 0, value).otherwise(F.array_join(pieces, ""))
-        return F.struct(whole.alias("text"), F.array(*(c.cast("bigint") for c in counts)).alias("counts"))
+        return F.struct(whole.alias("text"), of_kind.cast("array<bigint>").alias("counts"))
 
     made = docs.withColumn("_pii", let(found, woven))
     zeros = F.array(*[F.lit(0).cast("bigint")] * len(kinds))
