@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from millrace.session import ship
 
 # The blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -29,3 +34,31 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def with_text_columns(
+    df: DataFrame,
+    text: str,
+    make: Callable[[], Callable[[str | None], tuple]],
+    added: T.StructType,
+    keep_text: bool = True,
+) -> DataFrame:
+    """``df`` with the columns ``added``, which a Python function derives from ``text`` row by row.
+
+    ``make`` is called once per task and gives the function. Rows go through Arrow batches and stay where they are;
+    other columns pass through untouched, those with the name of an added one are replaced.
+    """
+    names = set(added.names)
+    kept = [c for c in df.columns if c not in names and (keep_text or c != text)]
+    schema = T.StructType([df.schema[c] for c in kept] + added.fields)
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches):
+        one = make()
+        for batch in batches:
+            made = [one(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [pa.array([m[i] for m in made], type=t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, names=[*kept, *added.names])
+
+    ship(df.sparkSession)
+    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, pii, quality, url_rules
+from millrace.llm import chat_format, langid, pii, quality, secrets, url_rules
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.pseudonymize(table(spark, sf_dir, "documents", ("doc_id", "text")), PII_KEY)
     counts = [F.get("pii_counts", i).alias(f"n_{k.name}") for i, k in enumerate(pii.KINDS)]
     return docs.select("doc_id", "text", *counts)
+
+
+@register
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ("doc_id", "text", "lang"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    profiles = langid.fit_profiles(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles, keep_text=False)
+
+
+@register
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ("doc_id", "text"))
+    found = secrets.scan_secrets(docs, secrets.fit_formats(docs), keep_text=False)
+    base = F.filter("secret_spans", lambda s: s["kind"] != secrets.FORMAT)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
