@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, langid, pii, quality, secrets, url_rules
+from millrace.llm import chat_format, langid, mixing, pii, quality, secrets, tiling, url_rules
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+@register
+def op6_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ("doc_id", "text"))
+    return tiling.tile_matches(docs, table(spark, sf_dir, "benchmark", ("item_id", "text")))
+
+
+@register
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.production_mix(table(spark, sf_dir, "documents", ("doc_id", "text", "lang", "source")))
