@@ -39,13 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -
 def with_text_columns(
     df: DataFrame,
     text: str,
-    make: Callable[[], Callable[[str | None], tuple]],
+    make: Callable[[], Callable],
     added: T.StructType,
     keep_text: bool = True,
+    many: bool = False,
 ) -> DataFrame:
     """``df`` with the columns ``added``, which a Python function derives from ``text`` row by row.
 
-    ``make`` is called once per task and gives the function. Rows go through Arrow batches and stay where they are;
+    ``make`` is called once per task and gives the function of a text, or with ``many`` of a list of texts. Rows go through Arrow batches and stay where they are;
     other columns pass through untouched, those with the name of an added one are replaced.
     """
     names = set(added.names)
@@ -56,7 +57,8 @@ def with_text_columns(
     def run(batches):
         one = make()
         for batch in batches:
-            made = [one(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            made = one(texts) if many else [one(t) for t in texts]
             columns = [pa.array([m[i] for m in made], type=t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, names=[*kept, *added.names])
 

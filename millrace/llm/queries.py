@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, langid, mixing, pii, quality, secrets, tiling, url_rules
+from millrace.llm import chat_format, html_text, langid, mixing, pii, quality, secrets, tiling, url_rules
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,10 @@ def op6_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.production_mix(table(spark, sf_dir, "documents", ("doc_id", "text", "lang", "source")))
+
+
+@register
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", ("page_id", "url", "html"))
+    out = html_text.extract_text(pages, html_text.fit_blocks(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -27,7 +27,8 @@ FORMAT = "format"  # the kind of spans that only a learned format finds
 ORDINARY = ""
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+# A run of digits alone is a number, one of letters alone a word.
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 LONG_WORD = re.compile(r"[^\x20\x09-\x0D]{12,}")
 
 SAMPLE = 1_000  # strings of each kind that the automata are fitted on: those of the least hash
@@ -198,7 +199,9 @@ def format_spans(text: str, base: list[tuple[str, int, int, str]], formats: dict
     kinds = [a for k, a in formats.items() if k != ORDINARY]
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if not kinds or not DIGIT.search(value) or any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        if not kinds or not DIGIT.search(value) or not LETTER.search(value):
+            continue
+        if any(s < m.end() and m.start() < e for _, s, e, _ in base):
             continue
         usual = ordinary.score(value) if ordinary else -math.log(96)
         if any((score := a.score(value)) >= a.floor and score - usual >= MIN_GAIN for a in kinds):
