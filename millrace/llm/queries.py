@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, html_text, langid, mixing, pii, quality, secrets, tiling, url_rules
+from millrace.llm import chat_format, html_text, jaccard, langid, mixing, pii, quality, secrets, tiling, url_rules
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +184,33 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", ("page_id", "url", "html"))
     out = html_text.extract_text(pages, html_text.fit_blocks(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents", ("doc_id", "text")))
+
+
+ORACLES["op8_jaccard"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM worded WHERE len(words) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes a ON a.doc_id = p.a JOIN sizes b ON b.doc_id = p.b
+  WHERE 100 * common >= 80 * (a.n + b.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
