@@ -335,3 +335,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     out = salted_join(rows.where("n > 0").select("doc_id", "n", "key", "row"), named, "key", "row")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """``docs`` with one document of each component, that of the least ``doc_id``.
+
+    Rows that repeat a kept id give one row. Rows without an id can't be told apart and stay, all of them.
+    """
+    found = jaccard_components(docs, words, share)
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    chosen = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if kept.where("rows > 1").limit(1).count():
+        chosen = chosen.dropDuplicates(["doc_id"])
+    return chosen.unionAll(docs.where("doc_id is null"))

@@ -112,6 +112,7 @@ def mix(
     seed: int = 0,
     id_column: str = "doc_id",
     tokens: str = "n_tokens",
+    cells_of: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with ``weight`` (expected copies) and ``n_copies`` (0 and up), so that tokens follow all ``targets``.
 
@@ -120,11 +121,11 @@ def mix(
     cells, at most the product of the classes named and never over ``MAX_CELLS``, are fitted on the driver. A
     document gets the whole copies of its weight, and one more with the probability of the rest, drawn by a hash of
     ``seed`` and its id: the draw depends on nothing else, so repeated rows fall alike. Null ids draw by a hash of
-    null. Null or negative token counts are 0. All rows come back, an empty table as an empty one; no row moves.
+    null. ``cells_of`` may give the same rows in a form that is cheaper to sum. Null or negative token counts are 0. All rows come back, an empty table as an empty one; no row moves.
     """
     axes = tuple(targets)
     named = {f"_class_{i}": c for i, c in enumerate(classes(docs, targets).values())}
-    counted = docs.select(*(c.alias(n) for n, c in named.items()), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
+    counted = (docs if cells_of is None else cells_of).select(*(c.alias(n) for n, c in named.items()), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
     cells = counted.groupBy(*named).agg(F.sum("_n").alias("_n")).limit(MAX_CELLS + 1).collect()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells have rows")
@@ -172,8 +173,19 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "lang", register_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("n_tokens"))
 
 
+def _targets(rows: DataFrame) -> dict[str, dict[str, float]]:
+    return {"source": tempered(rows, "source", SOURCE_POWER), "lang": LANGUAGES, "topic": TOPICS}
+
+
 def production_mix(docs: DataFrame) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, n_copies`` of every document under the production targets."""
     rows = written(features(docs), "mix")
-    targets = {"source": tempered(rows, "source", SOURCE_POWER), "lang": LANGUAGES, "topic": TOPICS}
-    return mix(rows, targets, SHARE, MOST)
+    return mix(rows, _targets(rows), SHARE, MOST)
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the production mix draws, whole, with ``topic, n_tokens, weight, n_copies``."""
+    docs = docs.withColumns({"topic": register_of(F.col("text")), "n_tokens": token_count(F.col("text"))})
+    # Measured once for the fit, and once more where the texts are read to be returned.
+    rows = written(docs.select("doc_id", "source", "lang", "topic", "n_tokens"), "mix")
+    return mix(docs, _targets(rows), SHARE, MOST, cells_of=rows).where("n_copies > 0")

@@ -130,6 +130,18 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield held
 
 
+def _matches(block: _Block, text: str | None, least: int, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+    """(item, its words, words covered, tiles) of the items of a block that a text holds."""
+    words = tokens(text)
+    doc = np.fromiter((block.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    for i in sorted(block.candidates(doc)):
+        key, item = block.items[i]
+        tiles = greedy_tiles(doc, item, min(least, len(item)))
+        covered = sum(t[2] for t in tiles)
+        if covered >= coverage * len(item):
+            yield key, len(item), covered, len(tiles)
+
+
 def tile_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -159,18 +171,11 @@ def tile_matches(
     def against(sent):
         def run(batches):
             block = _Block(sent.value, least)
-            number = block.vocabulary.get
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    doc = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
-                    for i in sorted(block.candidates(doc)):
-                        key, item = block.items[i]
-                        tiles = greedy_tiles(doc, item, min(least, len(item)))
-                        covered = sum(t[2] for t in tiles)
-                        if covered >= coverage * len(item):
-                            rows.append((doc_id, key, len(item), covered, covered / len(item), len(tiles)))
+                    for key, size, covered, tiles in _matches(block, text, least, coverage):
+                        rows.append((doc_id, key, size, covered, covered / size, tiles))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
         return run
@@ -182,3 +187,30 @@ def tile_matches(
     for more in found[1:]:
         out = out.unionAll(more)
     return out
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: int = LEAST,
+    coverage: float = COVERAGE,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """``docs`` without the rows that ``tile_matches`` pairs with any item; all columns, and no row moves."""
+    spark = docs.sparkSession
+    ship(spark)
+    at = docs.columns.index("text")
+
+    def without(sent):
+        def run(batches):
+            block = _Block(sent.value, least)
+            for batch in batches:
+                clean = [next(_matches(block, t, least, coverage), None) is None for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text"))
+    for block in _blocks(items, block_words):
+        docs = docs.mapInArrow(without(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
