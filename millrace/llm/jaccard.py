@@ -78,8 +78,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    """Bits of a signature for ``n`` shingles: the power of two from 4 * n, 64 at least."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of a signature for ``n`` shingles: the power of two from ``n``, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length())
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -179,13 +179,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("side"), F.col("b").alias("c"))
     centres = many.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("c"))
     wanted = members.unionAll(centres)
-    ids = wanted.select("c").distinct().join(classes.select("c", "key", F.col("first_id")), "c")
-    ids = written(ids, "wanted")
+    ids = written(wanted.join(classes.select("c", "key", "first_id"), "c"), "wanted")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text")
     chosen = ids.select("first_id").distinct()
     texts = texts.join(chosen, texts["first_id"].eqNullSafe(chosen["first_id"]), "left_semi")
-    sets = _sets(texts, words).join(ids, "key").select("c", "hashes")
-    rows = wanted.join(sets, "c").select("a", "part", "side", "c", "hashes")
+    rows = _sets(texts, words).join(ids, "key").select("a", "part", "side", "c", "hashes")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def compare(batches):
@@ -244,27 +242,32 @@ def _tile_pairs(rows: list[tuple], share: int):
             yield int(min(c[x], c[y])), int(max(c[x], c[y]))
 
 
-def _candidates(classes: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, share: int) -> DataFrame:
     """Pairs of classes in different components that sizes and bitmaps don't rule out.
 
     Linked sets share one of their least shingles, so documents meet by those. Shingles with the same documents
-    are one group; a group inside one component is done with. Groups are cut by set size into bands of ``TILE``
-    documents, and bands whose sizes are compatible meet as tiles.
+    are one group; a group inside one component is done with, and so is a document whose neighbours by size in a
+    group are of no compatible size. Groups are cut by set size into bands of ``TILE`` documents, and bands whose
+    sizes are compatible meet as tiles. Bitmaps join their documents in the tiles alone.
     """
     known = classes.join(labels, classes["c"] == labels["node"], "left")
-    known = known.select("c", "n", "bits", "least", F.coalesce("component", "c").alias("component"))
-    postings = known.select("c", "component", F.explode("least").alias("shingle"))
-    w = Window.partitionBy("shingle")
+    known = known.select("c", "n", F.coalesce("component", "c").alias("component"))
+    postings = profiles.select(F.col("row").alias("c"), "least").join(known, "c")
+    postings = postings.select("c", "n", "component", F.explode("least").alias("shingle"))
+    by_size = Window.partitionBy("shingle").orderBy("n")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = postings.withColumns(
         {
-            "lo": F.min("component").over(w),
-            "hi": F.max("component").over(w),
-            "size": F.count(F.lit(1)).over(w),
-            "sig": F.bit_xor(F.xxhash64("c")).over(w),
+            "lo": F.min("component").over(whole),
+            "hi": F.max("component").over(whole),
+            "size": F.count(F.lit(1)).over(whole),
+            "sig": F.bit_xor(F.xxhash64("c")).over(whole),
+            "below": F.lag("n").over(by_size),
+            "above": F.lead("n").over(by_size),
         }
     )
-    met = written(met.where("lo != hi").select("sig", "size", "c").distinct(), "groups")
-    met = met.join(known.select("c", "n", "bits", "component"), "c")
+    fits = F.expr(f"lo != hi and (100 * below >= {share} * n or 100 * n >= {share} * above)")
+    met = written(met.where(fits).select("sig", "size", "c", "n", "component").distinct(), "groups")
     # The rank in a group decides nothing but the cut into bands.
     rank = F.row_number().over(Window.partitionBy("sig", "size").orderBy("n", "c"))
     banded = met.withColumn("part", F.when(F.col("size") > TILE, F.floor((rank - 1) / TILE)).otherwise(0))
@@ -274,7 +277,7 @@ def _candidates(classes: DataFrame, labels: DataFrame, share: int) -> DataFrame:
     right = bands.select("sig", "size", F.col("part").alias("j"), "low")
     tiles = left.join(right, ["sig", "size"]).where(F.expr(f"i <= j and 100 * high >= {share} * low"))
     sides = tiles.select("sig", "size", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    rows = banded.join(sides, ["sig", "size", "part"])
+    rows = banded.join(sides, ["sig", "size", "part"]).join(profiles.select(F.col("row").alias("c"), "bits"), "c")
     rows = rows.select(F.xxhash64("sig", "size").alias("sig"), "i", "j", "part", "c", "n", "component", "bits")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
@@ -307,19 +310,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = written(_profiles(docs, words, share).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    firsts = rows.where("n > 0").groupBy("key").agg(F.min(order).alias("first"))
-    firsts = firsts.select(F.col("first.row").alias("c"), F.col("first.doc_id").alias("first_id"))
-    classes = rows.join(firsts, rows["row"] == firsts["c"]).select("c", "first_id", "key", "n", "least", "bits", "bands")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")
+    classes = rows.where("n > 0").groupBy("key").agg(F.min(order).alias("first"))
+    classes = classes.select("key", F.col("first.row").alias("c"), F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("n"))
     classes = written(classes, "classes")
 
-    looked = classes.select("c", F.explode("bands").alias("band"))
+    looked = rows.select(F.col("row").alias("c"), F.explode("bands").alias("band")).join(classes.select("c"), "c")
     stars = looked.groupBy("band").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     near = looked.join(stars, "band").where("c != a").select("a", F.col("c").alias("b")).distinct()
     labels = components(_verified(written(near, "near"), classes, docs, words, share))
     labels = written(labels, "labels")
 
-    pairs = written(_candidates(classes, labels, share), "pairs")
+    pairs = written(_candidates(classes, rows, labels, share), "pairs")
     links = _verified(pairs, classes, docs, words, share)
     top = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_top"))
     links = links.join(top("a"), "a", "left").join(top("b"), "b", "left")
