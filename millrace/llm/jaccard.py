@@ -17,8 +17,11 @@ from millrace.session import ship, written
 WORDS = 5  # of a shingle
 SHARE = 80  # percent: 100 * intersection >= SHARE * union
 TILE = 1_024  # documents on a side of a tile
+SPREAD = 8  # tasks among which groups of the same documents are dealt
+NAMED = 1 << 18  # pairs that a task remembers having named; those beyond are merged afterwards
 MEMBERS = 512  # documents that are compared with one centre in a task
 PIECE = 1 << 20  # bytes of a text that are hashed at once
+STARS = (1, 8)  # centres of a band that its documents are compared with, in rounds
 BANDS, ROWS = 4, 4  # least hashes whose agreement makes two documents worth a first look
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +81,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    """Bits of a signature for ``n`` shingles: the power of two from ``n``, 64 at least."""
-    return max(64, 1 << (n - 1).bit_length())
+    """Bits of a signature for ``n`` shingles: a power of two from 4 * n up to 2048, from ``n`` beyond."""
+    return max(64, min(2_048, 1 << (4 * n - 1).bit_length()), 1 << (n - 1).bit_length())
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -204,15 +207,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _star_pairs(looked: DataFrame, labels: DataFrame, stars: int) -> DataFrame:
+    """Pairs of a class with up to ``stars`` centres of each of its bands, where no link joins them yet.
+
+    Centres are the least by as many hashes, so a band of very many classes is a row per task before the shuffle.
+    """
+    known = looked.join(labels, looked["c"] == labels["node"], "left")
+    known = known.select("band", "c", F.coalesce("component", "c").alias("component"))
+    least = [F.min(F.struct(F.xxhash64("c", F.lit(k)), "c", "component")).alias(f"s{k}") for k in range(stars)]
+    bands = known.groupBy("band").agg(*least, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    bands = bands.select("band", F.explode(F.array_distinct(F.array(*(f"s{k}" for k in range(stars))))).alias("s"))
+    met = known.join(bands, "band").where("s.component != component")
+    return met.select(F.least("c", "s.c").alias("b"), F.greatest("c", "s.c").alias("a")).select("a", "b").distinct()
+
+
 def _tile_pairs(rows: list[tuple], share: int):
     """Pairs of a tile that may be linked: size and common bits allow it, and no link joins them yet.
 
-    ``rows`` are (sig, i, j, part, c, n, component, bits). A bit that one bitmap has and the other lacks stands for
-    a shingle at least that the other lacks, which bounds the intersection from above.
+    ``rows`` are (sig, i, j, part, c, n, component, bits, at). A bit that one bitmap has and the other lacks stands
+    for a shingle at least that the other lacks, which bounds the intersection from above. So does the place ``at``
+    of the shingle by which they meet: where it is the first in common, nothing before it is, and a pair whose first
+    is another meets by that one as well.
     """
     rows.sort(key=lambda r: (r[5], r[4]))
     i, j = rows[0][1], rows[0][2]
-    part, c, n, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3, 7))
+    part, c, n, comp, at = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 8))
     if comp.min() == comp.max():
         return
     widths = np.array([8 * len(r[7]) for r in rows])
@@ -220,9 +239,9 @@ def _tile_pairs(rows: list[tuple], share: int):
     for width in np.unique(widths):
         some = np.flatnonzero((widths == width) | (widths == 2 * width))
         matrix = np.zeros((len(some), width // 64), np.uint64)
-        for at, r in enumerate(some):
+        for k, r in enumerate(some):
             bits = np.frombuffer(rows[r][7], np.uint64)
-            matrix[at] = bits if widths[r] == width else bits[: width // 64] | bits[width // 64 :]
+            matrix[k] = bits if widths[r] == width else bits[: width // 64] | bits[width // 64 :]
         folded[int(width)] = (int(some[0]), matrix)
     last = np.searchsorted(n, 100 * n // share, "right")
     for x in range(len(rows)):
@@ -230,6 +249,8 @@ def _tile_pairs(rows: list[tuple], share: int):
         keep = comp[others] != comp[x]
         if i != j:
             keep &= part[others] != part[x]
+        rest = np.minimum(n[x] - at[x], n[others] - at[others])
+        keep &= 100 * rest >= share * (n[x] + n[others] - rest)
         others = others[keep]
         if not len(others):
             continue
@@ -253,7 +274,7 @@ def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, shar
     known = classes.join(labels, classes["c"] == labels["node"], "left")
     known = known.select("c", "n", F.coalesce("component", "c").alias("component"))
     postings = profiles.select(F.col("row").alias("c"), "least").join(known, "c")
-    postings = postings.select("c", "n", "component", F.explode("least").alias("shingle"))
+    postings = postings.select("c", "n", "component", F.posexplode("least").alias("at", "shingle"))
     by_size = Window.partitionBy("shingle").orderBy("n")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = postings.withColumns(
@@ -262,12 +283,16 @@ def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, shar
             "hi": F.max("component").over(whole),
             "size": F.count(F.lit(1)).over(whole),
             "sig": F.bit_xor(F.xxhash64("c")).over(whole),
+            "lead": F.min("c").over(whole),
             "below": F.lag("n").over(by_size),
             "above": F.lead("n").over(by_size),
         }
     )
     fits = F.expr(f"lo != hi and (100 * below >= {share} * n or 100 * n >= {share} * above)")
-    met = written(met.where(fits).select("sig", "size", "c", "n", "component").distinct(), "groups")
+    met = met.where(fits).groupBy("sig", "size", "c").agg(
+        F.min("at").alias("at"), F.first("n").alias("n"), F.first("component").alias("component"), F.first("lead").alias("lead")
+    )
+    met = written(met, "groups")
     # The rank in a group decides nothing but the cut into bands.
     rank = F.row_number().over(Window.partitionBy("sig", "size").orderBy("n", "c"))
     banded = met.withColumn("part", F.when(F.col("size") > TILE, F.floor((rank - 1) / TILE)).otherwise(0))
@@ -278,12 +303,16 @@ def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, shar
     tiles = left.join(right, ["sig", "size"]).where(F.expr(f"i <= j and 100 * high >= {share} * low"))
     sides = tiles.select("sig", "size", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
     rows = banded.join(sides, ["sig", "size", "part"]).join(profiles.select(F.col("row").alias("c"), "bits"), "c")
-    rows = rows.select(F.xxhash64("sig", "size").alias("sig"), "i", "j", "part", "c", "n", "component", "bits")
-    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rows = rows.select(F.xxhash64("sig", "size").alias("sig"), "i", "j", "part", "c", "n", "component", "bits", "at", "lead")
+    # Groups of the same documents lie together, so that a task names most pairs once.
+    rows = rows.repartition("lead", "i", "j", F.pmod("sig", F.lit(SPREAD))).drop("lead").sortWithinPartitions("sig", "i", "j")
 
     def run(batches):
+        named: set[tuple[int, int]] = set()
         for group in _groups(batches, 3):
-            pairs = list(_tile_pairs(group, share))
+            pairs = list(set(_tile_pairs(group, share)) - named)
+            named = set() if len(named) > NAMED else named
+            named.update(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -316,10 +345,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     classes = written(classes, "classes")
 
     looked = rows.select(F.col("row").alias("c"), F.explode("bands").alias("band")).join(classes.select("c"), "c")
-    stars = looked.groupBy("band").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    near = looked.join(stars, "band").where("c != a").select("a", F.col("c").alias("b")).distinct()
-    labels = components(_verified(written(near, "near"), classes, docs, words, share))
-    labels = written(labels, "labels")
+    labels = written(classes.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component")), "labels")
+    for stars in STARS:
+        near = written(_star_pairs(looked, labels, stars), "near")
+        links = _verified(near, classes, docs, words, share)
+        labels = written(components(links.unionAll(labels.toDF("a", "b"))), "labels")
 
     pairs = written(_candidates(classes, rows, labels, share), "pairs")
     links = _verified(pairs, classes, docs, words, share)
