@@ -90,7 +90,7 @@ def _results(spark, sf_dir):
     )
     rows = written(chunk.build_chunks(files, frames.META), "chunks")
     asked = written(ev.question_sample(p, _EVERY), "asked")
-    hits = keyword.bm25_search(frames.stored_index(rows, asked), asked.select("query_id", "query"), 5)
+    hits = keyword.bm25_search(frames.stored_index(rows), asked.select("query_id", "query"), 5)
     found = keyword.with_chunks(hits, rows, ("doc_key",), few_hits=True)
     return found.withColumnRenamed("doc_key", "path"), asked
 

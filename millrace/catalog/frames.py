@@ -60,9 +60,9 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(chunks(spark, sf_dir), "chunks")
 
 
-def stored_index(rows: DataFrame, queries: DataFrame | None = None) -> KeywordIndex:
+def stored_index(rows: DataFrame) -> KeywordIndex:
     """The index over postings written once, as a running system has them."""
-    return bm25_index(rows, queries).kept()
+    return bm25_index(rows).kept()
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

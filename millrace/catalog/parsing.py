@@ -29,7 +29,7 @@ def source_listing(spark, sf_dir):
 
 @query()
 def fetch_changed(spark, sf_dir):
-    listing = files.source_listing(spark, sf_dir, glob="*.parquet", max_bytes=1 << 30)
+    listing = files.source_listing(spark, sf_dir, glob="*.parquet")
     fetched = files.fetch_changed(listing.repartition("path"))
     return fetched.select("name", "length", F.octet_length("content").cast("bigint").alias("fetched"), "fetch_error")
 

@@ -109,7 +109,7 @@ _WORDS = [*q.CHUNKS, q.QUESTIONS, *q.keyword_ctes("chunks")]
 def _keyword(spark, sf_dir, k):
     rows = frames.stored_chunks(spark, sf_dir)
     asked = frames.questions(spark, sf_dir)
-    hits = keyword.bm25_search(frames.stored_index(rows, asked), asked, k)
+    hits = keyword.bm25_search(frames.stored_index(rows), asked, k)
     return rows, asked, keyword.with_chunks(hits, rows, ("text", "metadata_json"), few_hits=True)
 
 
@@ -117,7 +117,7 @@ def _keyword(spark, sf_dir, k):
 def bm25_search(spark, sf_dir):
     rows = frames.chunks(spark, sf_dir)
     asked = frames.questions(spark, sf_dir)
-    return _shown(keyword.bm25_search(frames.stored_index(rows, asked), asked, 5))
+    return _shown(keyword.bm25_search(frames.stored_index(rows), asked, 5))
 
 
 # --- fusion ---------------------------------------------------------------
@@ -139,7 +139,7 @@ def _legs(spark, sf_dir, k):
     store = frames.store(spark, sf_dir)
     near = vector.vector_topk(store, _asked(spark, sf_dir), k, carry=("text",))
     asked = frames.questions(spark, sf_dir)
-    hits = keyword.bm25_search(frames.stored_index(store, asked), asked, k)
+    hits = keyword.bm25_search(frames.stored_index(store), asked, k)
     words = keyword.with_chunks(hits, store, ("text",), few_hits=True)
     columns = ["query_id", "rank", "score", "chunk_id", "text"]
     return (
@@ -183,7 +183,7 @@ _HYBRID = (
 def hybrid_search(spark, sf_dir):
     store = frames.store(spark, sf_dir)
     asked = _asked(spark, sf_dir)
-    return _shown(rt.hybrid_search(store, frames.stored_index(store, asked), asked, 5))
+    return _shown(rt.hybrid_search(store, frames.stored_index(store), asked, 5))
 
 
 # --- rescoring and diversity ----------------------------------------------
@@ -205,9 +205,8 @@ def rerank_pointwise(spark, sf_dir):
 
 @query(
     sql=q.build(
-        "SELECT query_id, chunk_id, md5('Rate how relevant the document is for answering the query, as an integer from 0 (irrelevant) to 5 (directly answers it). "
-        "Respond with the number only.' || chr(10) || chr(10) || 'Query: ' || query || chr(10) || chr(10) || 'Document: ' || text) AS prompt_md5 "
-        "FROM bm JOIN chunks USING (chunk_id) JOIN questions USING (query_id)",
+        "SELECT query_id, chunk_id, md5('{}' || query || '{}' || text || '{}') AS prompt_md5 ".format(*rank.RATING_PROMPT.split("%s"))
+        + "FROM bm JOIN chunks USING (chunk_id) JOIN questions USING (query_id)",
         _WORDS,
         q.keyword_hits("bm", "questions", 5),
     )
@@ -308,4 +307,4 @@ def retrieve(spark, sf_dir):
     opts = rt.RetrieveOptions(k=3, query_prefix="query: ", decompose=True, rerank=True, mmr=True)
     # The words of the sub-queries come from the replies.
     words = asked.withColumn("query", F.concat_ws(" ", "query", "reply"))
-    return _shown(rt.retrieve(store, frames.stored_index(store, words), asked, opts))
+    return _shown(rt.retrieve(store, frames.stored_index(store), asked, opts))

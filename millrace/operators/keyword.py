@@ -73,16 +73,12 @@ class KeywordIndex:
         return KeywordIndex(*tables, by_chunk=True)
 
 
-def _postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def _postings(chunks: DataFrame) -> DataFrame:
     """Term counts per chunk, complete within one shuffle of the texts."""
     # Tokens are made after the shuffle: texts are smaller than their tokens.
     tokens = tokenize(chunks.select("chunk_id", "text").repartition("chunk_id"))
     # explode_outer: for explode, Spark would add filters that tokenise again.
     rows = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-    if vocabulary is not None:
-        known = F.broadcast(vocabulary.select(F.col("term").alias("_known")))
-        rows = rows.join(known, F.col("term") == F.col("_known"), "left")
-        rows = rows.select("chunk_id", "dl", F.col("_known").alias("term"))
     return rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -119,19 +115,9 @@ def _index(postings: DataFrame, by_chunk: bool) -> KeywordIndex:
     return KeywordIndex(postings, _term_stats(postings, totals), totals, by_chunk)
 
 
-def bm25_index(chunks: DataFrame, queries: DataFrame | None = None) -> KeywordIndex:
-    """Index ``(chunk_id, text)``.
-
-    For a one-off search give the ``queries``: if their words are few enough
-    to broadcast, only those get postings, all other words of a chunk share
-    one row. Scores are the same.
-    """
-    vocabulary = None
-    if queries is not None:
-        words = tokenize(queries, "query").select(F.explode_outer("tokens").alias("term"))
-        if at_most(words, MAX_BROADCAST_TERMS):
-            vocabulary = words.where(F.col("term").isNotNull()).distinct()
-    return _index(_postings(chunks, vocabulary), by_chunk=True)
+def bm25_index(chunks: DataFrame) -> KeywordIndex:
+    """Index every word of ``(chunk_id, text)``."""
+    return _index(_postings(chunks), by_chunk=True)
 
 
 def bm25_refresh(index: KeywordIndex, deletes: DataFrame, inserts: DataFrame) -> KeywordIndex:

@@ -91,7 +91,8 @@ def parse_documents(routed: DataFrame, custom: dict[str, Callable[[Column], Colu
 
     ``utf8`` and HTML are native; any other parser is a function from the
     content column to a text column (usually a pandas UDF) given in
-    ``custom``. Skipped, failed or unparsed files get the empty text.
+    ``custom``. Skipped, failed or unparsed files get the empty text;
+    ``parse_error`` says why the last two have none.
     """
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(F.col("parser") == "utf8", raw).when(
@@ -99,7 +100,12 @@ def parse_documents(routed: DataFrame, custom: dict[str, Callable[[Column], Colu
     )
     for parser, fn in (custom or {}).items():
         text = text.when(F.col("parser") == parser, fn(F.col("content")))
-    return routed.withColumn("text", F.coalesce(text, F.lit("")))
+    served = (F.col("parser") == "utf8") | F.col("parser").isin("skip", *(custom or {}))
+    served = served | ((F.col("parser") == "unstructured") & F.col("suffix").isin(".html", ".htm"))
+    error = F.when(~F.coalesce(served, F.lit(False)), F.concat(F.lit("no function for parser "), F.coalesce("parser", F.lit("(none)"))))
+    if "fetch_error" in routed.columns:
+        error = F.coalesce(F.when(F.col("parser") != "skip", F.col("fetch_error")), error)
+    return routed.withColumns({"parse_error": error, "text": F.coalesce(text, F.lit(""))})
 
 
 def parse_skip_report(routed: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ removal; ``compact`` folds all versions into one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,20 +138,28 @@ def sink_shape(chunks: DataFrame, backend: str) -> DataFrame:
 
 
 FINGERPRINT_SECTIONS = ("splitter", "parser", "embedder", "libraries")
+EMBEDDER_SETTINGS = ("type", "model", "truncate_dim")
+CREDENTIAL = re.compile("key|token|secret|passw|credential|auth", re.I)
 
 
 def fingerprint(settings: dict[str, dict]) -> dict[str, str]:
-    """Canonical JSON per settings section; credential-like keys are left out."""
+    """Canonical JSON per settings section.
+
+    Of an embedder only what changes its vectors counts; elsewhere names that
+    may hold credentials are left out.
+    """
     import json
 
     def clean(value):
         if isinstance(value, dict):
-            return {k: clean(v) for k, v in value.items() if "key" not in k.lower()}
+            return {k: clean(v) for k, v in value.items() if not CREDENTIAL.search(k)}
         if isinstance(value, list):
             return [clean(v) for v in value]
         return value
 
-    return {s: json.dumps(clean(settings.get(s, {})), sort_keys=True) for s in FINGERPRINT_SECTIONS}
+    given = dict(settings)
+    given["embedder"] = {k: v for k, v in given.get("embedder", {}).items() if k in EMBEDDER_SETTINGS}
+    return {s: json.dumps(clean(given.get(s, {})), sort_keys=True) for s in FINGERPRINT_SECTIONS}
 
 
 def with_fingerprint(chunks: DataFrame, settings: dict[str, dict]) -> DataFrame:
@@ -250,7 +260,7 @@ class ChunkStore:
     them into a new base, which rewrites the store.
     """
 
-    LOG = "version BIGINT, batch_id BIGINT, kind STRING, n_chunks BIGINT"
+    LOG = "version BIGINT, batch_id BIGINT, kind STRING, n_chunks BIGINT, job STRING"
     # Log rows in files of their own before the log is written as one file.
     ROLL = 256
 
@@ -293,8 +303,8 @@ class ChunkStore:
         # One file: it appears whole or not at all.
         self.spark.createDataFrame(rows, self.LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log/gen={gen}")
 
-    def _commit(self, log: list, version: int, batch_id: int, kind: str, n_chunks: int) -> None:
-        row = (version, batch_id, kind, n_chunks)
+    def _commit(self, log: list, version: int, batch_id: int, kind: str, n_chunks: int, job: str = "") -> None:
+        row = (version, batch_id, kind, n_chunks, job)
         self._write_log(self._gen, [row])
         if log and len(log) % self.ROLL == 0:
             self._write_log(self._gen + 1, [*map(tuple, log), row])
@@ -347,7 +357,14 @@ class ChunkStore:
     # --- writing
 
     def _write(
-        self, log: list, batch_id: int, kind: str, chunks: DataFrame, removed: DataFrame, manifest: DataFrame
+        self,
+        log: list,
+        batch_id: int,
+        kind: str,
+        chunks: DataFrame,
+        removed: DataFrame,
+        manifest: DataFrame,
+        job: str = "",
     ) -> None:
         version = log[-1]["version"] + 1
         path = f"{self.root}/chunks/ver={version}"
@@ -355,12 +372,20 @@ class ChunkStore:
         removed.select("doc_key").distinct().write.mode("overwrite").parquet(f"{self.root}/removed/ver={version}")
         manifest.select(*MANIFEST_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/manifest/ver={version}")
         # A count of whole files is answered from their footers.
-        self._commit(log, version, batch_id, kind, self.spark.read.schema(self.schema).parquet(path).count())
+        self._commit(log, version, batch_id, kind, self.spark.read.schema(self.schema).parquet(path).count(), job)
 
     def apply(
-        self, batch_id: int, removed: DataFrame, inserts: DataFrame, manifest: DataFrame | None = None
+        self,
+        batch_id: int,
+        removed: DataFrame,
+        inserts: DataFrame,
+        manifest: DataFrame | None = None,
+        job: str = "",
     ) -> bool:
-        """Commit one batch; returns False if ``batch_id`` was committed before.
+        """Commit one batch; returns False if ``job`` committed ``batch_id`` before.
+
+        Batches are numbered within their job: a stream is named by its
+        checkpoint, so two streams, or one with a new checkpoint, never meet.
 
         ``removed`` holds the keys of deleted and of edited documents,
         ``inserts`` all chunks of new and edited ones, ``manifest`` the changed
@@ -369,11 +394,11 @@ class ChunkStore:
         if batch_id < 0:
             raise ValueError("batch ids start at 0")
         log = self._log() or self.create()._log()
-        if any(r["batch_id"] == batch_id for r in log):
+        if any(r["batch_id"] == batch_id and (r["job"] or "") == job for r in log):
             return False
         if manifest is None:
             manifest = self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        self._write(log, batch_id, "apply", inserts, removed, manifest)
+        self._write(log, batch_id, "apply", inserts, removed, manifest, job)
         return True
 
     def merge(self) -> None:

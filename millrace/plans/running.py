@@ -7,6 +7,8 @@ unique; the block totals are run over in the same way, one level up.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,11 @@ def running(
     inner = df.withColumn(name, block).select(
         "*", *[_over(op, src, window).alias(f"_w_{out}") for out, (op, src) in aggs.items()]
     )
-    joined = inner.join(offsets, [*by, name])
+    # Nulls are keys and groups like any other; they sort first.
+    named = (*by, name)
+    offsets = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in named], *[f"_o_{out}" for out in aggs])
+    same = functools.reduce(lambda a, b: a & b, [inner[c].eqNullSafe(offsets[f"_k_{c}"]) for c in named])
+    joined = inner.join(offsets, same)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_fold(op, F.col(f"_o_{out}"), F.col(f"_w_{out}")).alias(out) for out, (op, _) in aggs.items()],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -67,23 +68,36 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
+# A cell of a row holds at most this many bytes.
+MAX_CELL = (1 << 31) - 1024
+
+
+def object_uri(path: str) -> str:
+    """A listed path, which is not escaped, as a URI: blanks, ``%``, ``#`` and ``?`` are parts of names."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        scheme, rest = "file", path
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    rest = rest if rest.startswith("//") else "//" + rest
+    return f"{scheme}:{quote(rest, safe='/:@')}"
+
+
 def _read_objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        for _, row in batch.iterrows():
+        for row in batch.to_dict("records"):
             content, error = None, None
             try:
-                uri = row["path"].replace("s3a://", "s3://", 1)
-                if uri.startswith("file:/") and not uri.startswith("file://"):
-                    uri = "file://" + uri[len("file:"):]
-                system, path = fs.FileSystem.from_uri(uri)
+                if row.get("length") is not None and row["length"] > MAX_CELL:
+                    raise ValueError(f"{row['length']} bytes are too many for one cell")
+                system, path = fs.FileSystem.from_uri(object_uri(row["path"]))
                 with system.open_input_stream(path) as stream:
                     content = stream.read()
             except Exception as exc:  # a vanished object must not stop the job
                 error = f"{type(exc).__name__}: {exc}"
             # One object per output batch keeps a task's memory at one object.
-            yield pd.DataFrame([{**row.to_dict(), "content": content, "fetch_error": error}])
+            yield pd.DataFrame([{**row, "content": content, "fetch_error": error}])
 
 
 def fetch_changed(changed: DataFrame) -> DataFrame:

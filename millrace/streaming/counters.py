@@ -31,8 +31,8 @@ def stream_counters(df: DataFrame, name: str) -> DataFrame:
 class ProgressLog(StreamingQueryListener):
     """Collects per-batch counters of streaming queries on the driver (numbers only)."""
 
-    def __init__(self, keep: int = 1000):
-        self.keep, self.batches, self._lock = keep, [], threading.Lock()
+    def __init__(self):
+        self.batches, self._lock = [], threading.Lock()
 
     def onQueryStarted(self, event):
         pass
@@ -47,7 +47,6 @@ class ProgressLog(StreamingQueryListener):
         }
         with self._lock:
             self.batches.append(row)
-            del self.batches[: -self.keep]
 
     def onQueryIdle(self, event):
         pass

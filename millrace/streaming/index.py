@@ -37,6 +37,9 @@ class IndexOptions:
     # Called with each committed batch's chunks and removed keys, e.g. to copy
     # them to another store in the shape of ``sink_shape``.
     on_batch: Callable[[int, DataFrame, DataFrame], None] | None = None
+    # Called with the objects of a batch that could not be read or parsed:
+    # (source_id, path, parser, reason).
+    on_errors: Callable[[int, DataFrame], None] | None = None
     # Versions of changes after which the store is tidied; None leaves it to the user.
     tidy_every: int | None = 64
 
@@ -47,7 +50,7 @@ def chunk_rows(docs: DataFrame, meta_columns: list[str], opts: IndexOptions) ->
     return opts.embed(embed_prefix(chunks, opts.document_prefix)).drop("embed_input")
 
 
-def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: IndexOptions) -> bool:
+def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: IndexOptions, job: str = "") -> bool:
     """Bring the store in step with one listing of the sources.
 
     Only objects that were added or changed since the last commit are read,
@@ -64,10 +67,21 @@ def index_once(listing: DataFrame, store: ChunkStore, batch_id: int, opts: Index
     # Spread by object: the listing of one folder must not be one task's work.
     fresh = fresh.repartition(F.col("source_id"), F.col("path"))
     docs = parse_documents(fetch_changed(parser_route(fresh, opts.rules, opts.env)), opts.custom_parsers)
-    inserts = chunk_rows(docs.withColumn("doc_key", key), ["path", "mtime", "length"], opts)
+    docs = written(docs.drop("content").withColumn("doc_key", key), "parsed")
+    # What could not be read or parsed keeps its old chunks, stays out of the
+    # manifest, and so is tried again with the next listing.
+    errors = docs.where(F.col("parse_error").isNotNull())
+    errors = errors.select("source_id", "path", "parser", F.col("parse_error").alias("reason"))
+    if opts.on_errors:
+        opts.on_errors(batch_id, errors)
+    changes = changes.join(errors.select("source_id", "path"), ["source_id", "path"], "left_anti")
+    fresh = changes.where(F.col("change").isin("added", "modified"))
+    inserts = chunk_rows(docs.where(F.col("parse_error").isNull()), ["path", "mtime", "length"], opts)
     removed = changes.where(F.col("change").isin("deleted", "modified")).select(key.alias("doc_key"))
     op = F.when(F.col("change") == "deleted", "delete").otherwise("upsert")
-    committed = store.apply(batch_id, removed, inserts, changes.withColumn("op", op))
+    if changes.isEmpty():
+        return False
+    committed = store.apply(batch_id, removed, inserts, changes.withColumn("op", op), job)
     if committed:
         if opts.on_batch:
             opts.on_batch(batch_id, store.read().join(fresh.select(key.alias("doc_key")), "doc_key", "left_semi"), removed)
@@ -95,7 +109,7 @@ def poll_source(
     return (
         clock.writeStream.option("checkpointLocation", checkpoint)
         .trigger(processingTime=refresh_interval)
-        .foreachBatch(lambda _, batch_id: index_once(list_sources(), store, batch_id, opts))
+        .foreachBatch(lambda _, batch_id: index_once(list_sources(), store, batch_id, opts, checkpoint))
         .start()
     )
 
@@ -122,7 +136,7 @@ def stream_index(
     def run(batch: DataFrame, batch_id: int) -> None:
         inserts = chunk_rows(changelog_latest(batch, ["doc_key"], "seq"), meta_columns, opts)
         removed = batch.select("doc_key").distinct()
-        if store.apply(batch_id, removed, inserts):
+        if store.apply(batch_id, removed, inserts, job=checkpoint):
             if opts.on_batch:
                 opts.on_batch(batch_id, store.read().join(removed, "doc_key", "left_semi"), removed)
             if opts.tidy_every:

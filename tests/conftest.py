@@ -31,11 +31,11 @@ def rows(df, *columns, order=None):
 @pytest.fixture
 def docs5(spark):
     texts = [
-        "alpha document about cats",
-        "beta report on dogs",
-        "gamma notes on birds",
-        "delta memo on fish",
-        "epsilon study of insects",
+        "first leaflet on kettles",
+        "second note on lanterns",
+        "third page on bridges",
+        "fourth card on violins",
+        "fifth sheet on orchards",
     ]
     return make_store(spark, texts)
 

@@ -76,7 +76,7 @@ def test_top_k_is_pruned_before_the_shuffle(spark, sf_dir):
 def test_search_over_an_index_in_plan_shuffles_texts_once(spark, sf_dir):
     chunks = frames.chunks(spark, sf_dir).select("chunk_id", "text")
     asked = make_queries(spark, ["the of and"])
-    hits = keyword.bm25_search(keyword.bm25_index(chunks, asked), asked, 5)
+    hits = keyword.bm25_search(keyword.bm25_index(chunks), asked, 5)
     scoring = plan(hits).split("Subquery")[0]
     assert "SortMergeJoin" not in scoring
 

@@ -89,9 +89,9 @@ def test_result_does_not_depend_on_partitions(spark, random_vectors, random_quer
 
 
 def test_same_text_ranks_first_with_score_one(spark, docs5):
-    asked = rt.mock_queries(make_queries(spark, ["gamma notes on birds"]))
+    asked = rt.mock_queries(make_queries(spark, ["third page on bridges"]))
     hits = vector.vector_topk(docs5, asked, 3).orderBy("rank").collect()
-    assert hits[0]["text"] == "gamma notes on birds" and hits[0]["score"] == pytest.approx(1.0)
+    assert hits[0]["text"] == "third page on bridges" and hits[0]["score"] == pytest.approx(1.0)
     assert [h["score"] for h in hits] == sorted((h["score"] for h in hits), reverse=True)
 
 
@@ -139,14 +139,14 @@ def worded():
     return docs, queries
 
 
-@pytest.mark.parametrize("mode", ["plan", "one_off", "kept", "saved", "shuffled"])
+@pytest.mark.parametrize("mode", ["plan", "kept", "saved", "shuffled"])
 def test_bm25_matches_brute_force(spark, monkeypatch, tmp_path, worded, mode):
     docs, queries = worded
     chunks = spark.createDataFrame(docs, "chunk_id string, text string").repartition(4)
     asked = make_queries(spark, queries)
     if mode == "shuffled":  # more query words than may be broadcast
         monkeypatch.setattr(keyword, "MAX_BROADCAST_TERMS", 2)
-    index = keyword.bm25_index(chunks, asked if mode in ("one_off", "kept", "shuffled") else None)
+    index = keyword.bm25_index(chunks)
     if mode == "kept":
         index = index.kept()
     if mode == "saved":
@@ -193,9 +193,9 @@ def test_refresh_equals_rebuild(spark, worded):
 def hybrid3(spark):
     return spark.createDataFrame(
         [
-            ("c0", "alpha cats streaming engine", "{}", [1.0, 0.0]),
-            ("c1", "beta dogs framework", "{}", [0.0, 1.0]),
-            ("c2", "gamma Guadalupe Hidalgo 1848 treaty", "{}", [0.5, 0.5]),
+            ("c0", "kettles steam slowly", "{}", [1.0, 0.0]),
+            ("c1", "lanterns glow outside", "{}", [0.0, 1.0]),
+            ("c2", "gamma Monte Verano 1911 viaduct", "{}", [0.5, 0.5]),
         ],
         "chunk_id string, text string, metadata_json string, embedding array<float>",
     )
@@ -209,13 +209,12 @@ def hybrid_texts(spark, store, query, embedding, k, **kw):
 
 
 def test_hybrid_lets_a_keyword_hit_in(spark, hybrid3):
-    assert "c2" in hybrid_texts(spark, hybrid3, "Guadalupe Hidalgo", [1.0, -0.5], 2)
+    assert "c2" in hybrid_texts(spark, hybrid3, "Monte Verano", [1.0, -0.5], 2)
 
 
-def test_hybrid_off_or_capped_is_vector_only(spark, hybrid3):
-    plain = hybrid_texts(spark, hybrid3, "Guadalupe Hidalgo", [1.0, -0.5], 2, on=False)
+def test_hybrid_off_is_vector_only(spark, hybrid3):
+    plain = hybrid_texts(spark, hybrid3, "Monte Verano", [1.0, -0.5], 2, on=False)
     assert plain == ["c0", "c2"]
-    assert hybrid_texts(spark, hybrid3, "Guadalupe Hidalgo", [1.0, -0.5], 2, max_chunks=1) == plain
 
 
 def test_hybrid_without_keyword_hits_keeps_the_cosine(spark, hybrid3):
@@ -224,44 +223,44 @@ def test_hybrid_without_keyword_hits_keeps_the_cosine(spark, hybrid3):
     assert best["chunk_id"] == "c0" and best["score"] == pytest.approx(1.0)
 
 
-def test_treaty_is_found_by_its_words(spark):
+def test_viaduct_is_found_by_its_words(spark):
     store = make_store(
         spark,
         [
-            "alpha document about cats",
-            "beta report on dogs",
-            "gamma notes on birds",
-            "delta memo on fish",
-            "epsilon study of insects",
-            "the treaty of Guadalupe Hidalgo was signed in 1848",
+            "first leaflet on kettles",
+            "second note on lanterns",
+            "third page on bridges",
+            "fourth card on violins",
+            "fifth sheet on orchards",
+            "the viaduct of Monte Verano was opened in 1911",
         ],
     )
-    asked = make_queries(spark, ["when was Guadalupe Hidalgo signed"])
+    asked = make_queries(spark, ["when was Monte Verano opened"])
     out = rt.retrieve(store, keyword.bm25_index(store), asked, rt.RetrieveOptions(k=3))
-    assert any("Guadalupe" in r["text"] for r in out.collect())
+    assert any("Verano" in r["text"] for r in out.collect())
 
 
 def test_all_sub_queries_surface(spark, docs5):
-    asked = make_queries(spark, ["alpha document about cats"]).withColumn(
-        "reply", F.lit("beta report on dogs\ngamma notes on birds")
+    asked = make_queries(spark, ["first leaflet on kettles"]).withColumn(
+        "reply", F.lit("second note on lanterns\nthird page on bridges")
     )
     opts = rt.RetrieveOptions(k=3, hybrid=False, decompose=True)
     out = rt.retrieve(docs5, None, asked, opts).orderBy("rank").collect()
-    assert [r["text"] for r in out] == ["alpha document about cats", "beta report on dogs", "gamma notes on birds"]
+    assert [r["text"] for r in out] == ["first leaflet on kettles", "second note on lanterns", "third page on bridges"]
 
 
 def test_empty_reply_falls_back_to_the_question(spark, docs5):
-    asked = make_queries(spark, ["delta memo on fish"])
+    asked = make_queries(spark, ["fourth card on violins"])
     plain = rt.retrieve(docs5, None, asked, rt.RetrieveOptions(k=2, hybrid=False))
     split = rt.retrieve(docs5, None, asked.withColumn("reply", F.lit("")), rt.RetrieveOptions(k=2, hybrid=False, decompose=True))
     assert rows(plain) == rows(split)
 
 
 def test_reranker_sees_the_shortlist(spark, docs5):
-    asked = make_queries(spark, ["alpha document about cats"])
-    opts = rt.RetrieveOptions(k=1, hybrid=False, rerank=True, rerank_candidates=5, scorer=lambda q, t: t.contains("insects").cast("int"))
+    asked = make_queries(spark, ["first leaflet on kettles"])
+    opts = rt.RetrieveOptions(k=1, hybrid=False, rerank=True, rerank_candidates=5, scorer=lambda q, t: t.contains("orchards").cast("int"))
     out = rt.retrieve(docs5, None, asked, opts).collect()
-    assert [r["text"] for r in out] == ["epsilon study of insects"] and "embedding" not in out[0].asDict()
+    assert [r["text"] for r in out] == ["fifth sheet on orchards"] and "embedding" not in out[0].asDict()
 
 
 def test_option_checks(spark, docs5):

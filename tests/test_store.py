@@ -12,8 +12,8 @@ from millrace.operators.store import ChunkStore, IndexNotReady
 from millrace.sources import files
 from millrace.streaming import counters, index, retract
 
-A = "alpha document about cats and the streaming engine"
-B = "beta report concerning dogs and the framework"
+A = "first leaflet on kettles and the streaming engine"
+B = "second note on lanterns and the framework"
 
 
 class Folder:
@@ -92,7 +92,7 @@ def test_add_modify_delete(spark, folder, kept):
     assert not run(folder, kept, 2)  # nothing changed, nothing committed
 
     folder.remove("b.txt")
-    folder.write("c.txt", "gamma notes on birds and incremental computation")
+    folder.write("c.txt", "third page on bridges and incremental computation")
     folder.write("a.txt", A + " revised")
     assert run(folder, kept, 3)
     assert names(kept) == ["a.txt", "c.txt"]
@@ -347,3 +347,27 @@ def test_counters(spark, tmp_path):
         assert any(b["observed"]["in"]["rows"] == 2 for b in log.batches if "in" in b["observed"])
     finally:
         spark.streams.removeListener(log)
+
+
+def test_odd_names_are_read_and_failures_retried(spark, folder, kept):
+    texts = {n: f"text of {n}" for n in ("a b.txt", "a%20b.txt", "é.txt", "c#d.txt", "e?f.txt")}
+    for name, text in texts.items():
+        folder.write(name, text)
+    folder.write("p.pdf", "no parser")
+    seen = []
+    assert run(folder, kept, 1, on_errors=lambda _, e: seen.extend(e.collect()))
+    got = {r["doc_key"].rsplit("/", 1)[1]: r["text"] for r in kept.read().collect()}
+    assert got == texts
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"][:11]) for r in seen] == [("p.pdf", "no function")]
+    # Only the failed object is tried again.
+    seen.clear()
+    assert not run(folder, kept, 2, on_errors=lambda _, e: seen.extend(e.collect()))
+    assert len(seen) == 1
+
+
+def test_two_jobs_number_their_batches_alike(spark, kept):
+    key = lambda k: spark.createDataFrame([(k,)], "doc_key string")
+    assert kept.apply(1, key("a"), chunks_of(spark, ("a", "x")), job="one")
+    assert kept.apply(1, key("b"), chunks_of(spark, ("b", "y")), job="two")
+    assert not kept.apply(1, key("b"), chunks_of(spark, ("b", "z")), job="two")
+    assert rows(kept.read(), "doc_key", "text") == [("a", "x"), ("b", "y")]
