@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -76,12 +78,16 @@ def rake(cells: Sequence[tuple[str, ...]], tokens: np.ndarray, axes: Sequence[st
     return Raked(tuple(axes), list(cells), tokens, factor, error)
 
 
-def rates(raked: Raked, share: float, most: float) -> np.ndarray:
+def rates(raked: Raked, share: float, most: float = math.inf) -> np.ndarray:
     """Expected copies of a document of each cell, so that ``share`` of all tokens come out.
 
-    At most ``most`` copies of a document; where that binds, the other cells make up for it as far as they can.
+    One scale for all cells, which leaves the shares as they were fitted. A finite ``most`` bounds the copies of a
+    document; where that binds, the other cells make up for it as far as they can and the shares are missed.
     """
     goal = share * raked.tokens.sum()
+    if most == math.inf:
+        fitted = (raked.tokens * raked.factor).sum()
+        return raked.factor * (goal / fitted) if fitted > 0 else raked.factor
     low, high = 0.0, 1.0
     reached = lambda scale: float((raked.tokens * np.minimum(raked.factor * scale, most)).sum())
     if raked.factor.max(initial=0.0) <= 0:
@@ -108,7 +114,6 @@ def mix(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]],
     share: float = 0.5,
-    most: float = 4.0,
     seed: int = 0,
     id_column: str = "doc_id",
     tokens: str = "n_tokens",
@@ -121,7 +126,8 @@ def mix(
     cells, at most the product of the classes named and never over ``MAX_CELLS``, are fitted on the driver. A
     document gets the whole copies of its weight, and one more with the probability of the rest, drawn by a hash of
     ``seed`` and its id: the draw depends on nothing else, so repeated rows fall alike. Null ids draw by a hash of
-    null. ``cells_of`` may give the same rows in a form that is cheaper to sum. Null or negative token counts are 0. All rows come back, an empty table as an empty one; no row moves.
+    null. No number of copies is too many: a rare class with a large target is repeated as often as that takes. Where
+    targets contradict each other a warning gives the largest gap left. ``cells_of`` may give the same rows in a form that is cheaper to sum. Null or negative token counts are 0. All rows come back, an empty table as an empty one; no row moves.
     """
     axes = tuple(targets)
     named = {f"_class_{i}": c for i, c in enumerate(classes(docs, targets).values())}
@@ -131,7 +137,9 @@ def mix(
         raise ValueError(f"more than {MAX_CELLS} cells have rows")
     cells.sort(key=lambda r: tuple(r)[:-1])
     raked = rake([tuple(r)[:-1] for r in cells], np.array([r["_n"] for r in cells], float), axes, targets)
-    weights = rates(raked, share, most)
+    if raked.error >= CLOSE:
+        warnings.warn(f"targets contradict each other: a share misses its target by {raked.error:.3g}", stacklevel=2)
+    weights = rates(raked, share)
 
     def key(values):
         return F.concat_ws("\x1f", *values)
@@ -165,7 +173,7 @@ def tempered(docs: DataFrame, axis: str, power: float, tokens: str = "n_tokens",
 # Production targets of languages and topics; sources are tempered by the root of their share.
 LANGUAGES = {"en": 0.52, "de": 0.15, "fr": 0.15, "es": 0.15, OTHER: 0.03}
 TOPICS = {"prose": 0.78, "lines": 0.1, "figures": 0.05, "markup": 0.05, OTHER: 0.02}
-SOURCE_POWER, SHARE, MOST = 0.5, 0.6, 4.0
+SOURCE_POWER, SHARE = 0.5, 0.6
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -180,7 +188,7 @@ def _targets(rows: DataFrame) -> dict[str, dict[str, float]]:
 def production_mix(docs: DataFrame) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, n_copies`` of every document under the production targets."""
     rows = written(features(docs), "mix")
-    return mix(rows, _targets(rows), SHARE, MOST)
+    return mix(rows, _targets(rows), SHARE)
 
 
 def sampled(docs: DataFrame) -> DataFrame:
@@ -188,4 +196,4 @@ def sampled(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({"topic": register_of(F.col("text")), "n_tokens": token_count(F.col("text"))})
     # Measured once for the fit, and once more where the texts are read to be returned.
     rows = written(docs.select("doc_id", "source", "lang", "topic", "n_tokens"), "mix")
-    return mix(docs, _targets(rows), SHARE, MOST, cells_of=rows).where("n_copies > 0")
+    return mix(docs, _targets(rows), SHARE, cells_of=rows).where("n_copies > 0")

@@ -438,6 +438,20 @@ def test_mix(spark):
     assert mixing.mix(odd.limit(0), {"source": {"a": 1.0}}).count() == 0
 
 
+def test_mix_reaches_all_marginals(spark):
+    got = queries.op9_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    got["source"] = got.source.fillna(mixing.OTHER)
+    had = got.groupby("source").n_tokens.sum() ** mixing.SOURCE_POWER
+    for axis, goal in (("source", had.to_dict()), ("lang", mixing.LANGUAGES), ("topic", mixing.TOPICS)):
+        named = got[axis].where(got[axis].isin(list(goal)), mixing.OTHER)
+        tokens = got.n_tokens.groupby(named).sum()
+        goal = {k: v for k, v in goal.items() if tokens.get(k, 0) > 0}
+        reached = (got.weight * got.n_tokens).groupby(named).sum()
+        for k, v in goal.items():
+            assert abs(reached[k] / reached.sum() - v / sum(goal.values())) < 1e-6, (axis, k)
+    assert np.isclose((got.weight * got.n_tokens).sum(), mixing.SHARE * got.n_tokens.sum())
+
+
 # Pipeline
 
 
