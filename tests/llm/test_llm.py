@@ -452,6 +452,28 @@ def test_mix_reaches_all_marginals(spark):
     assert np.isclose((got.weight * got.n_tokens).sum(), mixing.SHARE * got.n_tokens.sum())
 
 
+@pytest.mark.parametrize("cells", [200_000, 20])
+def test_mix_of_many_sources(spark, monkeypatch, cells):
+    """Every source keeps its own root, and more cells than the driver takes are fitted as a table."""
+    monkeypatch.setattr(mixing, "MAX_CELLS", cells)
+    monkeypatch.setattr(mixing, "SMALL", 100)
+    n = 12_000 if cells > 20 else 300
+    table = spark.range(4 * n).selectExpr(
+        "id as doc_id",
+        f"if(id % 4 = 3, 'host0', concat('host', id % {n})) as source",
+        f"if((id div {n}) % 2 = 0, 'en', 'de') as lang",
+        "id % 7 + 1 as n_tokens",
+    )
+    got = mixing.mix(table, {"source": 0.5, "lang": {"en": 0.3, "de": 0.7}}, 0.5).toPandas()
+    assert len(got) == 4 * n
+    had, reached = got.groupby("source").n_tokens.sum() ** 0.5, (got.weight * got.n_tokens).groupby(got.source).sum()
+    assert len(had) > 0.7 * n
+    assert np.allclose(reached / reached.sum(), had / had.sum(), rtol=1e-5, atol=0)
+    by_lang = (got.weight * got.n_tokens).groupby(got.lang).sum()
+    assert abs(by_lang["de"] / by_lang.sum() - 0.7) < 1e-6
+    assert np.isclose(by_lang.sum(), 0.5 * got.n_tokens.sum())
+
+
 # Pipeline
 
 
