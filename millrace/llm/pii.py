@@ -14,17 +14,46 @@ ROUNDS = 10
 
 # Longer matches come first where two kinds could start at one place. Only ASCII letters and digits bound a value.
 EDGE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z_%+-]+(?:\.[0-9A-Za-z_%+-]+){0,8}@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+){1,8}"
+EMAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z_%+-][0-9A-Za-z._%+-]*+(?<!\.)@[0-9A-Za-z-]++(?:\.[0-9A-Za-z-]++)++"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-ISO_DATE = EDGE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + END
-DAY_DATE = r"(?<![0-9A-Za-z./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}" + r"(?![0-9A-Za-z]|[./][0-9])"
-SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = (
-    r"(?<![0-9A-Za-z+])\+(?:1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-    r"|[0-9]{1,3}(?<gap>[ .-])[0-9]{2,4}(?:\k<gap>[0-9]{2,4}){1,4}|[0-9]{8,15})(?![0-9A-Za-z])"
+
+
+def _any(parts: list[str]) -> str:
+    return "(?:" + "|".join(parts) + ")"
+
+
+# Dates with one separator throughout: year first, or year last. Two more digits after . or / are a longer number.
+DOTTED, UNDOTTED = r"(?<![0-9A-Za-z./])", r"(?![0-9A-Za-z]|[./][0-9])"
+_YEAR_FIRST = {s: f"[0-9]{{4}}{s}[0-9]{{1,2}}{s}[0-9]{{1,2}}" for s in ("-", "/", r"\.")}
+_YEAR_LAST = {s: f"[0-9]{{1,2}}{s}[0-9]{{1,2}}{s}[0-9]{{4}}" for s in ("-", "/", r"\.")}
+ISO_DATE = _any([EDGE + _YEAR_FIRST["-"] + END, DOTTED + _any([_YEAR_FIRST["/"], _YEAR_FIRST[r"\."]]) + UNDOTTED])
+DAY_DATE = _any(
+    [DOTTED + _any([_YEAR_LAST["/"], _YEAR_LAST[r"\."]]) + UNDOTTED, r"(?<![0-9A-Za-z-])" + _YEAR_LAST["-"] + r"(?![0-9A-Za-z]|-[0-9])"]
 )
-# Unbroken, or in the groups that cards print.
-CARD = EDGE + r"(?:[0-9]{13,19}|[0-9]{4}(?<mark>[ -])[0-9]{4}\k<mark>[0-9]{4}\k<mark>[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + END
+SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+# The groups that cards print, or no groups.
+_PRINTED = _any(["[0-9]{13,19}", *(f"[0-9]{{4}}{s}" + s.join(f"[0-9]{{{n}}}" for n in g) for s in " -" for g in ((4, 4, 4), (6, 5), (6, 4), (3, 3, 3)))]) + END
+# What a value of several groups doesn't run into after a blank.
+_OTHER = _any([r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", *_YEAR_FIRST.values(), *_YEAR_LAST.values(), "[0-9]{3}-[0-9]{2}-[0-9]{4}", _PRINTED])
+_MORE = f"(?:(?: (?!{_OTHER})|[.-])?[0-9])"  # a digit more of a phone
+# International: +1 has ten digits, others 8 to 15 by validation. National: three groups of North America, or a trunk 0.
+PHONE = _any(
+    [
+        r"(?<![0-9A-Za-z+])\+"
+        + _any(
+            [
+                r"1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+                rf"[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\){_MORE}{{4,10}}",
+                f"[0-9]{_MORE}{{7,14}}",
+            ]
+        ),
+        r"(?<![0-9A-Za-z+.-])(?:1[ .-])?"
+        + _any([r"\([2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}", *(f"[2-9][0-9]{{2}}{s}[2-9][0-9]{{2}}{s}[0-9]{{4}}" for s in ("-", " ", r"\."))]),
+        rf"(?<![0-9A-Za-z+./-])(?:\(0[1-9][0-9]{{1,3}}\) ?|0[1-9][0-9]{{1,3}}[ /-])[0-9]{_MORE}{{4,7}}",
+    ]
+) + r"(?![0-9A-Za-z]|[.-][0-9])"
+# Groups as printed, then any others of 13 to 19 digits; validation selects.
+CARD = EDGE + _any([_PRINTED, f"[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,18}}" + END])
 
 
 def _digits(value: Column) -> Column:
@@ -99,8 +128,8 @@ def _phone_valid(value: Column) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays where a mark ends it; the other digits are permuted."""
-    code = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[^0-9]))?", 0)
+    """The country code stays where a mark ends it, and a leading 0 or 1 that is dialled; the other digits are permuted."""
+    code = F.regexp_extract(value, r"^(?:\+(?:[0-9]{1,3}(?=[^0-9]))?|\(?0|1(?=[^0-9]))", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
     return let(_digits(rest), lambda d: F.concat(code, _fill(rest, feistel(d, _radices(d, 10), key, "phone"))))
 
@@ -128,11 +157,16 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _iso(value: Column) -> Column:
-    return F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_timestamp(F.translate(value, "./", "--"), F.lit("yyyy-M-d")).cast("date")
 
 
 def _day_first(value: Column) -> Column:
-    return F.try_to_timestamp(F.translate(value, ".", "/"), F.lit("dd/MM/yyyy")).cast("date")
+    return F.try_to_timestamp(F.translate(value, ".-", "//"), F.lit("d/M/yyyy")).cast("date")
+
+
+def _month_first(value: Column) -> Column:
+    """For values that can't have the day first, so the day is over 12."""
+    return F.try_to_timestamp(F.translate(value, ".-", "//"), F.lit("M/d/yyyy")).cast("date")
 
 
 # 400 Gregorian years have 146 097 = 27 * 5411 days: a date is permuted inside its own 400 years.
@@ -152,16 +186,31 @@ def _shifted(date: Column, key: str) -> Column:
     return let(days, made)
 
 
+def _like(value: Column, date: Column, order: tuple[str, str, str]) -> Column:
+    """``date`` with the separator and the zeros that ``value`` was written with."""
+    short = ~value.rlike(r"(?:^|[^0-9])0[0-9](?:[^0-9]|$)") & value.rlike(r"(?:^|[^0-9])[0-9](?:[^0-9]|$)")
+    shown = F.when(short, F.date_format(date, "/".join(order))).otherwise(F.date_format(date, "/".join(p if p == "yyyy" else 2 * p for p in order)))
+    return F.replace(shown, F.lit("/"), F.regexp_extract(value, "[./-]", 0))
+
+
 def _iso_date(value: Column, key: str) -> Column:
-    return F.date_format(_shifted(_iso(value), key), "yyyy-MM-dd")
+    return let(_shifted(_iso(value), key), lambda d: _like(value, d, ("yyyy", "M", "d")))
 
 
 def _day_date(value: Column, key: str) -> Column:
-    """Day first, with the separator it came with; the same day as an ISO date gets the same pseudonym."""
-    return let(
-        _shifted(_day_first(value), key),
-        lambda d: F.when(F.contains(value, F.lit("/")), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")),
-    )
+    """In its own order and with its own separator; the same day as an ISO date gets the same pseudonym.
+
+    A value that can only have the month first goes on to the next pseudonym until that is such a value too, as one
+    that could be read both ways might be the pseudonym of another date.
+    """
+
+    def walked(date: Column) -> Column:
+        step = lambda d, i: F.when((i > 0) & (F.dayofmonth(d) > 12), d).otherwise(_shifted(d, key))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(99)), date, step)
+
+    return F.when(
+        _day_first(value).isNotNull(), let(_shifted(_day_first(value), key), lambda d: _like(value, d, ("d", "M", "yyyy")))
+    ).otherwise(let(walked(_month_first(value)), lambda d: _like(value, d, ("M", "d", "yyyy"))))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -202,7 +251,7 @@ KINDS = (
     Kind("email", EMAIL, lambda v: F.lit(True), _email),
     Kind("ip", IPV4, lambda v: F.forall(_octets(v), lambda o: o <= 255), _ip),
     Kind("date", ISO_DATE, lambda v: _iso(v).isNotNull(), _iso_date),
-    Kind("day_date", DAY_DATE.replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>"), lambda v: _day_first(v).isNotNull(), _day_date),
+    Kind("day_date", DAY_DATE, lambda v: _day_first(v).isNotNull() | _month_first(v).isNotNull(), _day_date),
     Kind("ssn", SSN, _ssn_valid, _ssn),
     Kind("phone", PHONE, _phone_valid, _phone),
     Kind("card", CARD, _card_valid, _card),
@@ -220,7 +269,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kin
     A null text stays null, with counts of 0, an empty one empty. Rows are independent: repeated rows, null ids
     and extra columns are kept as they are. A column named ``pii_counts`` is replaced. No shuffle.
     """
-    pattern = "|".join(f"(?:{k.pattern})" for k in kinds)
+    # At most places none of our kinds but mail addresses can start, which one look ahead tells.
+    pattern = "|".join(f"(?:{k.pattern})" if k not in KINDS or k.pattern == EMAIL else f"(?=[0-9+(])(?:{k.pattern})" for k in kinds)
     value = F.col(text)
 
     def replaced(v: Column) -> Column:

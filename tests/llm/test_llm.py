@@ -164,6 +164,40 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != got[2]["text"]
 
 
+PRIVATE = [
+    *(("phone", p) for p in ("+44 (20) 7946 0958", "+49 30 1234567", "+49 (30) 123-4567", "+1 415-555-2671", "+49 30-123-4567")),
+    *(("phone", p) for p in ("+33 1 23 45 67 89", "+33.1.23.45.67.89", "(415) 555-2671", "415-555-2671", "1-415-555-2671", "030 1234567")),
+    *(("card", c) for c in ("3056 930902 5904", "4222 222 222 222", "4539 5787 6362 1486", "4539-57876362-1486", "378282246310005")),
+    *(("date", d) for d in ("2023/02/28", "2023.02.28", "2023-2-8")),
+    *(("day_date", d) for d in ("1.2.2023", "28-02-2023", "02/28/2023", "2/28/2023", "28/02/2023")),
+    ("email", ".".join("abcdefghijkl") + "@" + ".".join("mnopqrstuvwxyz")),
+]
+
+
+def test_private_forms(spark):
+    others = ["12 4539 5787 6362 1486", "+49 30 1234567 10.0.0.1", "+49 30 1234567 4539 5787 6362 1486", "+44 20 7946 0958 2023-02-28", "1234 2023-02-28 12345"]
+    texts = [f"a {v}, b." for _, v in PRIVATE] + others + ["32.13.2023 13/32/2023 2023/13/01 4222 222 222 223"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(table, "k").collect()}
+    names = [k.name for k in pii.KINDS]
+    for i, (kind, value) in enumerate(PRIVATE):
+        assert got[i]["pii_counts"] == [int(n == kind) for n in names], value
+        assert got[i]["text"] != texts[i], value
+        if "date" not in kind:
+            assert re.sub("[0-9a-z]", "0", got[i]["text"]) == re.sub("[0-9a-z]", "0", texts[i])
+    found = [{n: c for n, c in zip(names, got[len(PRIVATE) + i]["pii_counts"], strict=True) if c} for i in range(6)]
+    assert found == [{"card": 1}, {"ip": 1, "phone": 1}, {"phone": 1, "card": 1}, {"date": 1, "phone": 1}, {"date": 1}, {}]
+    short = got[[v for _, v in PRIVATE].index("1.2.2023")]["text"]
+    assert re.fullmatch(r"a [1-9][0-9]?\.[1-9][0-9]?\.[0-9]{4}, b\.", short)
+
+
+def test_dates_stay_different(spark):
+    days = spark.range(1500).selectExpr("date_add(date'2020-01-01', cast(id as int)) as d")
+    texts = days.selectExpr("date_format(d, 'dd/MM/yyyy') as text").union(days.where("day(d) > 12").selectExpr("date_format(d, 'MM/dd/yyyy')"))
+    out = pii.pseudonymize(texts, "k").collect()
+    assert len({r["text"] for r in out}) == len(out) and all(r["pii_counts"][3] == 1 for r in out)
+
+
 def test_feistel_is_a_permutation(spark):
     base = spark.range(27 * 5).selectExpr("array(id % 27, id div 27) as s", "array(27L, 5L) as r")
     mixed = base.select(pii.feistel(pii.F.col("s"), pii.F.col("r"), "k", "t").alias("m"))
