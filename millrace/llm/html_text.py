@@ -31,7 +31,14 @@ PARTS = re.compile(r"[a-z]+")
 
 # HTML's own element classes: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+HIDDEN = frozenset("svg template noscript".split())  # parsed, and no part of the text
+# In svg these begin HTML again, and the tags of the second set hold HTML.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN = frozenset(("foreignobject", "desc"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -75,12 +82,49 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def _raw_end(page: str, tag: str, at: int) -> int | None:
+    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    return stop.end() if stop else None
+
+
+def _hidden_end(page: str, tag: str, at: int, around: list[str], endless: set[int]) -> int:
+    """Where the element that opens before ``at`` ends: by its own end tag, nested ones counted, and svg also by that of
+    an element ``around`` it or by a tag that begins HTML again. ``at`` if nothing ends it, so that an unclosed one
+    hides nothing; such places go to ``endless``.
+    """
+    held, place = [(tag, at)], at
+    while at not in endless and (m := MARKUP.search(page, place)):
+        place = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if any(t == name for t, _ in held):
+                while held.pop()[0] != name:
+                    pass
+                if not held:
+                    return place
+            elif name in around and held[0][0] == "svg" and not any(t in ("template", "noscript") for t, _ in held):
+                return m.start()
+        elif name in RAW:
+            place = _raw_end(page, name, place) or place
+        elif name in HIDDEN | FOREIGN:
+            if held[-1][0] != "svg" and name != "svg" or not (m[3] or m[6] or "").endswith("/"):
+                held.append((name, place))
+        elif held[-1][0] == "svg" and name in BREAKOUT:
+            while held and held[-1][0] == "svg":
+                held.pop()
+            if not held:
+                return m.start()
+    endless.update(p for _, p in held)
+    return at
+
+
 def parse(page: str) -> list[Node]:
-    """The page's blocks in order, parents before children; scripts, styles, titles and comments are left out."""
+    """The page's blocks in order, parents before children; scripts, styles, titles, drawings and comments are left out."""
     nodes = [Node("#page", -1, 0)]
     open_at, open_tags = [0], ["#page"]
     run: list[str] = []
     linked = links = 0
+    endless: set[int] = set()
 
     def add(node: Node) -> int:
         nodes.append(node)
@@ -115,7 +159,7 @@ def parse(page: str) -> list[Node]:
             if m[0].startswith("<![CDATA["):
                 run.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        if run and tag not in RAW:
+        if run and tag not in RAW and tag not in HIDDEN:
             text = "".join(run)
             text = " ".join((references.unescape(text) if "&" in text else text).split())
             if text:
@@ -127,8 +171,11 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         if tag in RAW:
             if not (m[1] or m[4]):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = _raw_end(page, tag, at) or end
+            continue
+        if tag in HIDDEN:
+            if not (m[1] or m[4] or tag == "svg" and (m[3] or m[6] or "").endswith("/")):
+                at = _hidden_end(page, tag, at, open_tags, endless)
             continue
         if m[1] or m[4]:
             if tag in open_tags:

@@ -290,6 +290,33 @@ def test_main_text(spark):
     assert html_text.fit_blocks(table) is None
 
 
+HIDDEN_PARTS = [
+    *(f"<p>a <{t} class='x'>no<g>no</g></{t}> b</p><p>c</p>" for t in ("svg", "template", "noscript")),
+    *(f"<p>a <{t}>no<{t}>no</{t}>no</{t}> b</p><p>c</p>" for t in ("svg", "template", "noscript")[1:]),
+    "<p>a <svg><svg>no</svg>no</svg> b</p><p>c</p>",
+    "<p>a <svg viewBox='0 0 1 1'/> b</p><p>c</p><svg><path d='M0'/>no</svg>",
+    *(f"<p>a <{t}/> b</p><p>c</p>" for t in ("svg", "template", "noscript")),
+    *(f"<p>a <{t}> b</p><p>c</p>" for t in ("template", "noscript")),
+    "<div>a b</div><div><svg>no</div><p>c</p>",
+    "<div>a b</div><div><noscript><img></div><p>c</p><noscript>no</noscript>",
+    "<p>a b</p><svg><path d='M0'>no<p>c</p>",
+    "<p>a b</p><svg><foreignObject><p>no</p></foreignObject>no</svg><p>c</p>",
+    "<p>a b</p><template><script>'</template>'</script><div>no</div></template><p>c</p>",
+    "<p>a b</p><noscript><noscript>no</noscript><p>c</p>",
+    "<p>a b</p><template><template>no</template><p>c</p>",
+]
+
+
+@pytest.mark.parametrize("page", HIDDEN_PARTS)
+def test_hidden_parts_end_where_they_end(page):
+    assert list(html_text.main_texts([page], None)) == ["a b c"]
+    assert list(html_text.main_texts([f"<body><article>{page}</article></body>"], None)) == ["a b c"]
+
+
+def test_many_unclosed_parts_take_one_reading():
+    assert list(html_text.main_texts(["<noscript>" * 20_000 + "a</svg>"], None)) == ["a"]
+
+
 def test_decoding_has_no_contradictions():
     nodes = html_text.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     rng = np.random.default_rng(1)
