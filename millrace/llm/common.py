@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.session import ship
+from millrace.session import ship, written
 
 # The blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -64,3 +64,22 @@ def with_text_columns(
 
     ship(df.sparkSession)
     return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, order: Iterable[Column | str], name: str = "pos", label: str = "numbered") -> DataFrame:
+    """``df`` with ``name``: the places 0 .. n-1 of its rows in ``order``, without one window over all rows.
+
+    Rows are sorted by a range-partitioned sort and written once with Spark's partition-and-row id, so that
+    counting and numbering see the same partitions; each partition then gets the count of those before it
+    from a table of one row per partition (its size is bounded by the partition count, not the data).
+    Rows equal in ``order`` are numbered in the order of the sort, which is arbitrary among them.
+    """
+    spark = df.sparkSession
+    tagged = written(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_mid", 33)
+    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(ahead, F.lit(0)).alias("_at"))
+    out = tagged.join(F.broadcast(offsets), part == F.col("_part"))
+    place = F.col("_at") + F.col("_mid") - F.shiftleft(F.col("_part"), 33)
+    return out.select(*[F.col(c) for c in df.columns], place.alias(name))

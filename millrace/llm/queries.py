@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, html_text, jaccard, langid, mixing, pii, quality, secrets, tiling, url_rules
+from millrace.llm import (
+    chat_format,
+    fingerprints,
+    html_text,
+    jaccard,
+    langid,
+    mixing,
+    pii,
+    prefix_trie,
+    quality,
+    secrets,
+    tiling,
+    url_rules,
+    variants,
+)
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +228,23 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", ("conv_id", "turn", "role", "text")))
+
+
+@register
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents", ("doc_id", "text")))
+
+
+@register
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ("doc_id", "text"))
+    return variants.spelling_variants(variants.word_counts(docs))
+
+
+# op11 and op13 hash with CRC-32, which DuckDB lacks, and op12's digests are no SQL: all three are held against
+# brute-force versions in tests/llm.
