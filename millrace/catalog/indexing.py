@@ -142,7 +142,8 @@ def embed_static(spark, sf_dir):
     terms = docs.select(F.explode_outer(tx.words(F.col("text"))).alias("term")).distinct().where("term IS NOT NULL")
     vec_id = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % n
     lookup = written(terms.withColumn("vec_id", vec_id).join(known, "vec_id").select("term", "vec"), "lookup")
-    e = embed.embed_static(docs, lookup, 64, key="doc_id")
+    # The mean of no tokens is no vector to SQL: texts without a word are left out here.
+    e = embed.embed_static(docs, lookup, 64, key="doc_id").where("n_known > 0")
     weighted = F.aggregate(
         F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
     )

@@ -7,17 +7,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import text as tx
 from millrace.functions import vectors as vx
 from millrace.plans.skew import at_most, salted_join
-from millrace.session import written
+from millrace.session import ship, written
 
 # A lookup table of up to this many values (rows x dimensions) is broadcast:
 # 32 million floats are 128 MB.
 MAX_LOOKUP_VALUES = 32_000_000
+# Tokens whose vectors one task holds at once in ``embed_static``.
+BLOCK_TOKENS = 1 << 15
 
 
 def embed_prefix(df: DataFrame, prefix: str, column: str = "text", out: str = "embed_input") -> DataFrame:
@@ -70,28 +76,76 @@ def embed_batch(
 def embed_static(
     chunks: DataFrame, lookup: DataFrame, dim: int, key: str = "chunk_id", column: str = "text"
 ) -> DataFrame:
-    """Mean of the token vectors of each text: ``(key, embedding)``.
-
-    ``lookup`` is ``(term, vec)`` with one row per term. Tokens are counted
-    per text first, so a frequent word costs one row per text; a lookup too
-    large to broadcast is joined with its hot terms salted. Texts without a
-    known token get no row.
+    """Mean of the token vectors of each text: ``(key, embedding, n_known)``, one row per input row.
+
+    ``lookup`` is ``(term, vec)`` with one row per term. Words are cut on the JVM side; when the lookup holds
+    at most ``MAX_LOOKUP_VALUES`` values it is sent once to every executor as a matrix, and one narrow Arrow
+    pass finds each word's row (``pyarrow.compute.index_in``) and sums vectors per text by segments
+    (``numpy.add.reduceat`` over blocks of ``BLOCK_TOKENS`` tokens), so nothing is shuffled and no task holds
+    more than one block of vectors. A larger lookup is joined instead (hot terms salted). ``n_known`` counts the
+    tokens found; a text without one (null, empty, unknown words) gets the zero vector. Repeated keys are rows
+    of their own.
     """
+    spark = chunks.sparkSession
+    if not at_most(lookup, MAX_LOOKUP_VALUES // dim):
+        return _embed_static_joined(chunks, lookup, dim, key, column)
+    table = lookup.select(F.col("term").cast("string"), F.col("vec")).toArrow()
+    vocab = table.column(0).combine_chunks()
+    vecs = table.column(1).combine_chunks()
+    if len(vecs) and (vecs.null_count or not np.all(pc.list_value_length(vecs).to_numpy(zero_copy_only=False) == dim)):
+        raise ValueError(f"every lookup vector must have {dim} values")
+    matrix = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vocab), dim)
+    shared = spark.sparkContext.broadcast((vocab, matrix))
+    ship(spark)
+    schema = T.StructType(
+        [chunks.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n_known", T.LongType())]
+    )
+
+    def run(batches):
+        terms, vectors = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            words = batch.column(1)
+            offsets = words.offsets.to_numpy()
+            found = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+            segment = np.repeat(np.arange(n), np.diff(offsets))
+            known = found >= 0
+            found, segment = found[known], segment[known]
+            counts = np.bincount(segment, minlength=n)
+            sums = np.zeros((n, dim), dtype=np.float64)
+            for at in range(0, len(found), BLOCK_TOKENS):
+                rows, seg = found[at : at + BLOCK_TOKENS], segment[at : at + BLOCK_TOKENS]
+                starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+                sums[seg[starts]] += np.add.reduceat(vectors[rows], starts, axis=0, dtype=np.float64)
+            means = (sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
+            embedding = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(means.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), embedding, pa.array(counts.astype(np.int64))], schema=out_schema)
+
+    out_schema = to_arrow_schema(schema)
+    words = F.coalesce(tx.words(F.col(column)), F.array().cast("array<string>"))
+    return chunks.select(F.col(key), words.alias("_words")).mapInArrow(run, schema)
+
+
+def _embed_static_joined(chunks: DataFrame, lookup: DataFrame, dim: int, key: str, column: str) -> DataFrame:
+    """:func:`embed_static` for a lookup too large to send whole: token counts joined with it, hot terms salted."""
+    rows = chunks.select(key, column).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "static-rows")
     counts = (
         # explode_outer: for explode, Spark would add filters that tokenise again.
-        chunks.select(key, F.explode_outer(tx.words(F.col(column))).alias("term"))
+        rows.select("_row", F.explode_outer(tx.words(F.col(column))).alias("term"))
         .where(F.col("term").isNotNull())
-        .groupBy(key, "term")
+        .groupBy("_row", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    if at_most(lookup, MAX_LOOKUP_VALUES // dim):
-        found = counts.join(F.broadcast(lookup.select("term", "vec")), "term")
-    else:
-        found = salted_join(counts, lookup.select("term", "vec"), "term", salt_by=key)
+    found = salted_join(counts, lookup.select("term", "vec"), "term", salt_by="_row")
     sums = [F.sum(F.col("tf") * F.get(F.col("vec"), F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
-    totals = found.groupBy(key).agg(F.sum("tf").alias("_n"), *sums)
+    totals = found.groupBy("_row").agg(F.sum("tf").alias("_n"), *sums)
     mean = F.array(*[(F.col(f"_s{i}") / F.col("_n")).cast("float") for i in range(dim)])
-    return totals.select(key, mean.alias("embedding"))
+    zero = F.array(*[F.lit(0.0).cast("float")] * dim)
+    out = rows.join(totals.select("_row", "_n", mean.alias("_mean")), "_row", "left")
+    return out.select(
+        key, F.coalesce("_mean", zero).alias("embedding"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_known")
+    )
 
 
 def embed_dedup_cache(

@@ -3,6 +3,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -255,6 +256,37 @@ def test_static_means(spark, monkeypatch, limit):
     monkeypatch.setattr(embed, "MAX_LOOKUP_VALUES", limit)
     lookup = spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 2.0])], "term string, vec array<float>")
     df = spark.createDataFrame([("a", "Cat cat dog bird"), ("b", "bird"), ("c", "dog")], "chunk_id string, text string")
-    out = rows(embed.embed_static(df, lookup, 2))
-    assert [k for k, _ in out] == ["a", "c"]
-    assert out[0][1] == pytest.approx([2 / 3, 2 / 3]) and out[1][1] == [0.0, 2.0]
+    out = rows(embed.embed_static(df, lookup, 2), "chunk_id", "embedding", "n_known")
+    assert [(k, n) for k, _, n in out] == [("a", 3), ("b", 0), ("c", 1)]
+    assert out[0][1] == pytest.approx([2 / 3, 2 / 3]) and out[1][1] == [0.0, 0.0] and out[2][1] == [0.0, 2.0]
+
+
+@pytest.mark.parametrize("limit", [10**9, 1])
+def test_static_means_against_brute_force(spark, monkeypatch, limit):
+    """256 dimensions, long texts across blocks, nulls, repeated keys: both paths equal a plain mean."""
+    monkeypatch.setattr(embed, "MAX_LOOKUP_VALUES", limit)
+    monkeypatch.setattr(embed, "BLOCK_TOKENS", 7)
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(50)]
+    vecs = rng.normal(size=(50, 256)).astype(np.float32)
+    lookup = spark.createDataFrame([(t, v.tolist()) for t, v in zip(vocab, vecs)], "term string, vec array<float>")
+    texts = [" ".join(rng.choice(vocab + ["unknown"], int(rng.integers(0, 40)))) for _ in range(30)]
+    texts += [None, "", "W3 w3 w3", "w1 " * 5000]
+    data = [(i % 31, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "chunk_id long, text string").repartition(3)
+    got = sorted((r["chunk_id"], r["n_known"], tuple(r["embedding"])) for r in embed.embed_static(df, lookup, 256).collect())
+    want = []
+    for k, t in data:
+        ids = [vocab.index(w) for w in (t or "").lower().split() if w in vocab]
+        mean = vecs[ids].astype(np.float64).mean(axis=0) if ids else np.zeros(256)
+        want.append((k, len(ids), tuple(mean.astype(np.float32))))
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-5)
+
+
+def test_static_embedding_is_narrow(spark):
+    lookup = spark.createDataFrame([("cat", [1.0, 0.0])], "term string, vec array<float>")
+    df = spark.createDataFrame([("a", "cat")], "chunk_id string, text string")
+    plan = embed.embed_static(df, lookup, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
