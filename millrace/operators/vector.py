@@ -11,12 +11,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Query tables up to this many values (rows x dimensions) are sent to every
 # task as one matrix: 16 million doubles are 128 MB.
 MAX_QUERY_VALUES = 16_000_000
-# Rows per side of one block where the query table is larger than that.
-BLOCK_ROWS = 20_000
+# Store rows and queries of one tile of scores (32 MB of doubles).
+TILE_ROWS, TILE_QUERIES = 4096, 1024
 
 # Scores are ranked after rounding, so equal texts rank by id whatever the
 # order their products were summed in.
@@ -56,93 +57,97 @@ def _matrix(column) -> np.ndarray:
     return m
 
 
-class _Best:
-    """Per query, the top-k rows of a block that can still reach the top k."""
+class _Pruner:
+    """Per query, the ``k`` best rounded scores a task has seen; rows below them can never rank.
+
+    Scores are taken in tiles of ``TILE_QUERIES x TILE_ROWS``, so a task holds one tile of scores whatever the
+    sizes of store and queries. Of a tile, a query keeps the rows at or above both its ``k``-th best rounded score
+    in the tile and its ``k``-th best so far; everything dropped has ``k`` rows strictly better, so ties at the
+    boundary stay and the final ranking (``rank_hits``) decides them by id.
+    """
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.top = np.full((n_queries, k), -np.inf)
-
-    def pick(self, scores: np.ndarray, query: int, ids: np.ndarray) -> np.ndarray:
-        top, k = self.top[query], self.k
-        rows = np.flatnonzero(scores >= top[0])
-        if rows.size > k:
-            kth = np.partition(scores[rows], rows.size - k)[rows.size - k]
-            rows = rows[scores[rows] >= kth]
-            if rows.size > k:
-                rows = rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
-        if rows.size:
-            merged = np.concatenate([top, scores[rows]])
-            merged.sort()
-            self.top[query] = merged[-k:]
-        return rows
-
-
-def _score_block(
-    rows: pa.Table | pa.RecordBatch,
-    queries: np.ndarray,
-    query_rows: np.ndarray,
-    best: _Best,
-    id_col: str,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, score) of the rows of one block worth keeping."""
-    column = rows.column(id_col)
-    ids = np.asarray(column.to_pylist())
-    vectors = _matrix(rows.column("embedding"))
-    scores = queries[query_rows] @ vectors.T
-    ranked = np.round(scores, RANK_DIGITS)
-    out_r, out_q, out_s = [], [], []
-    for i, q in enumerate(query_rows):
-        keep = best.pick(ranked[i], q, ids)
-        out_r.append(keep)
-        out_q.append(np.full(keep.size, q))
-        out_s.append(scores[i][keep])
-    return np.concatenate(out_r), np.concatenate(out_q), np.concatenate(out_s)
-
-
-def _emit(rows, keep: np.ndarray, carry: list[str], query_ids: pa.Array, q: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    index = pa.array(keep)
-    columns = [query_ids.take(pa.array(q)), pa.array(s, pa.float64())]
-    for name in carry:
-        column = rows.column(name)
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        columns.append(column.take(index))
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", *carry])
-
-
-def _hit_schema(store: DataFrame, queries: DataFrame, carry: list[str]) -> T.StructType:
-    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]
-    return T.StructType(fields + [T.StructField(c, store.schema[c].dataType) for c in carry])
+        self.best = np.full((n_queries, k), -np.inf)
+
+    def scan(self, queries: np.ndarray, asked: np.ndarray, vectors: np.ndarray):
+        """``(query rows, store rows, scores)`` of the candidates, tile by tile."""
+        for q0 in range(0, len(asked), TILE_QUERIES):
+            qs = asked[q0 : q0 + TILE_QUERIES]
+            block = queries[qs]
+            for r0 in range(0, len(vectors), TILE_ROWS):
+                scores = block @ vectors[r0 : r0 + TILE_ROWS].T
+                ranked = np.rint(scores * 10.0**RANK_DIGITS)
+                width = ranked.shape[1]
+                k = min(self.k, width)
+                top = np.partition(ranked, width - k, axis=1)[:, width - k :]
+                cut = np.maximum(top.min(axis=1), self.best[qs, 0])
+                qi, ri = np.nonzero(ranked >= cut[:, None])
+                merged = np.concatenate([self.best[qs], top], axis=1)
+                merged.sort(axis=1)
+                self.best[qs] = merged[:, -self.k :]
+                yield qs[qi], r0 + ri, scores[qi, ri]
+
+
+def _hit_schema(store: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField(id_col, store.schema[id_col].dataType),
+        ]
+    )
 
 
 def _search(
     store: DataFrame, queries: DataFrame, k: int, carry: list[str], id_col: str, probes: bool
 ) -> DataFrame:
-    """Per task (or block) top-k candidates, then the exact top k per query.
+    """Candidates by a scan of ids and vectors alone, the exact top k per query, then the ``carry`` columns.
 
-    With ``probes`` the store has a column ``cell`` and the queries an array
-    ``cells``; a query then only meets rows of its cells.
+    With ``probes`` the store has a column ``cell`` and the queries an array ``cells``; a query then only meets
+    rows of its cells. Query tables of at most ``MAX_QUERY_VALUES`` values are sent whole to the scan; larger
+    ones are cut into hash blocks of that bound, one scan of the store each (the store is never copied). The
+    ``carry`` columns are joined to the ``k`` hits per query afterwards, so the scan reads no text;
+    ``id_col`` must be a key of the store for that.
     """
-    needed = list(dict.fromkeys([id_col, "embedding", *carry]))
-    store = store.where(F.col("embedding").isNotNull()).select(*needed, *(["cell"] if probes else []))
+    kept = [id_col, "embedding", *(["cell"] if probes else [])]
+    scanned = store.where(F.col("embedding").isNotNull()).select(*kept)
     queries = queries.select(
         "query_id", F.col("embedding").cast("array<double>").alias("embedding"), *(["cells"] if probes else [])
     ).where(F.col("embedding").isNotNull())
-    schema = _hit_schema(store, queries, carry)
+    schema = _hit_schema(scanned, queries, id_col)
 
     head = queries.select(F.size("embedding").alias("d")).head()
     dim = max(1, head["d"] if head else 1)
     limit = max(1, MAX_QUERY_VALUES // dim)
     table = queries.limit(limit + 1).toArrow()
     if table.num_rows <= limit:
-        found = _search_broadcast(store, table, k, carry, id_col, probes, schema)
+        blocks = [table]
     else:
-        found = _search_blocks(store, queries, k, carry, id_col, probes, schema)
-    return rank_hits(found, k, ties=id_col)
+        n_blocks = -(-queries.count() * 3 // (2 * limit))
+        spread = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+        blocks = [t for b in range(n_blocks) for t in _bounded(spread.where(F.col("_block") == b).drop("_block"), limit)]
+    found = None
+    for block in blocks:
+        hits = rank_hits(_scan(scanned, block, k, id_col, probes, schema), k, ties=id_col)
+        if carry:
+            extra = store.select(id_col, *[c for c in carry if c != id_col])
+            # At most k rows per query of a block whose size is bounded above.
+            hits = extra.join(F.broadcast(hits), id_col)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _bounded(block: DataFrame, limit: int, seed: int = 1) -> list[pa.Table]:
+    """A block of queries as tables of at most ``limit`` rows: cut in two by another hash while larger."""
+    table = block.limit(limit + 1).toArrow()
+    if table.num_rows <= limit:
+        return [table]
+    half = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(2))
+    return [t for h in (0, 1) for t in _bounded(block.where(half == h), limit, seed + 1)]
 
 
-def _search_broadcast(store, table: pa.Table, k, carry, id_col, probes, schema) -> DataFrame:
+def _scan(store, table: pa.Table, k, id_col, probes, schema) -> DataFrame:
     """The store stays where it is; the bounded query matrix goes to it."""
     spark = store.sparkSession
     query_ids = table.column("query_id").combine_chunks()
@@ -157,69 +162,28 @@ def _search_broadcast(store, table: pa.Table, k, carry, id_col, probes, schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, ids, by_cell = shared.value
-        best = _Best(len(matrix), k)
+        pruner = _Pruner(len(matrix), k)
         everyone = np.arange(len(matrix))
         for batch in batches:
             if batch.num_rows == 0 or len(matrix) == 0:
                 continue
-            if not probes:
-                keep, q, s = _score_block(batch, matrix, everyone, best, id_col)
-                yield _emit(batch, keep, carry, ids, q, s)
-                continue
-            cells = batch.column("cell").to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                part = batch.take(pa.array(np.flatnonzero(cells == cell)))
-                keep, q, s = _score_block(part, matrix, np.asarray(by_cell[cell]), best, id_col)
-                yield _emit(part, keep, carry, ids, q, s)
-
+            if probes:
+                cells = batch.column("cell").to_numpy(zero_copy_only=False)
+                parts = [(np.flatnonzero(cells == c), np.asarray(by_cell[c])) for c in np.unique(cells)]
+            else:
+                parts = [(None, everyone)]
+            for rows, asked in parts:
+                part = batch if rows is None else batch.take(pa.array(rows))
+                vectors = _matrix(part.column("embedding"))
+                for q, r, s in pruner.scan(matrix, asked, vectors):
+                    if len(r):
+                        columns = [ids.take(pa.array(q)), pa.array(s, pa.float64()), part.column(id_col).take(pa.array(r))]
+                        yield pa.RecordBatch.from_arrays(columns, schema=_arrow_schema)
+
+    _arrow_schema = to_arrow_schema(schema)
     return store.mapInArrow(scan, schema)
 
 
-def _search_blocks(store, queries, k, carry, id_col, probes, schema) -> DataFrame:
-    """Too many queries for one matrix: both sides are cut into blocks.
-
-    Ids are hashed to blocks of about ``BLOCK_ROWS`` rows, every pair of
-    blocks (of a shared cell) meets once, and only its top k rows go on.
-    """
-    if not probes:
-        store = store.withColumn("cell", F.lit(0))
-        queries = queries.withColumn("cells", F.array(F.lit(0)))
-    probed = queries.withColumn("cell", F.explode("cells")).drop("cells")
-
-    def block_counts(df: DataFrame, name: str) -> DataFrame:
-        # One row per cell, and cells are a parameter of the index.
-        counts = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-        return F.broadcast(counts)
-
-    n_s, n_q = block_counts(store, "n_s"), block_counts(probed, "n_q")
-
-    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        out = df.join(n_s, "cell").join(n_q, "cell")
-        out = out.withColumn(f"b_{own}", F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
-        copies = F.sequence(F.lit(0), F.col(f"n_{other}") - 1)
-        return out.withColumn(f"b_{other}", F.explode(copies)).drop("n_s", "n_q")
-
-    left = spread(store, id_col, "s", "q").groupBy("cell", "b_s", "b_q")
-    right = spread(probed, "query_id", "q", "s").groupBy("cell", "b_s", "b_q")
-
-    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if rows.num_rows == 0 or asked.num_rows == 0:
-            return _nothing(rows, asked, carry)
-        matrix = _matrix(asked.column("embedding"))
-        best = _Best(len(matrix), k)
-        keep, q, s = _score_block(rows, matrix, np.arange(len(matrix)), best, id_col)
-        ids = asked.column("query_id").combine_chunks()
-        return pa.Table.from_batches([_emit(rows, keep, carry, ids, q, s)])
-
-    return left.cogroup(right).applyInArrow(meet, schema)
-
-
-def _nothing(rows: pa.Table, asked: pa.Table, carry: list[str]) -> pa.Table:
-    columns = [asked.column("query_id").slice(0, 0), pa.array([], pa.float64())]
-    columns += [rows.column(c).slice(0, 0) for c in carry]
-    return pa.Table.from_arrays(columns, names=["query_id", "score", *carry])
-
-
 def vector_topk(
     store: DataFrame,
     queries: DataFrame,

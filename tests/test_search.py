@@ -57,7 +57,8 @@ def frames_of(spark, stored, queries):
 def test_exact_search_matches_brute_force(spark, monkeypatch, random_vectors, random_queries, blocks):
     if blocks:  # more queries than one matrix may hold
         monkeypatch.setattr(vector, "MAX_QUERY_VALUES", 6)
-        monkeypatch.setattr(vector, "BLOCK_ROWS", 17)
+        monkeypatch.setattr(vector, "TILE_ROWS", 17)
+        monkeypatch.setattr(vector, "TILE_QUERIES", 7)
     store, asked = frames_of(spark, random_vectors, random_queries)
     near = vector.vector_topk(store, asked, 4, carry=())
     assert rows(near, "query_id", "rank", "chunk_id", order=lambda t: t) == brute_topk(random_vectors, random_queries, 4)
@@ -67,7 +68,8 @@ def test_exact_search_matches_brute_force(spark, monkeypatch, random_vectors, ra
 def test_probing_all_cells_is_exact(spark, monkeypatch, random_vectors, random_queries, blocks):
     if blocks:
         monkeypatch.setattr(vector, "MAX_QUERY_VALUES", 6)
-        monkeypatch.setattr(vector, "BLOCK_ROWS", 17)
+        monkeypatch.setattr(vector, "TILE_ROWS", 17)
+        monkeypatch.setattr(vector, "TILE_QUERIES", 7)
     store, asked = frames_of(spark, random_vectors, random_queries)
     near = vector.ann_topk(store, asked, 4, n_cells=5, n_probe=5, carry=())
     assert rows(near, "query_id", "rank", "chunk_id", order=lambda t: t) == brute_topk(random_vectors, random_queries, 4)
@@ -81,6 +83,23 @@ def test_approximate_recall(spark, sf_dir):
     assert vector.recall(found, exact, "vec_id").head()["recall"] > 0.7
 
 
+def test_scan_reads_no_text_and_tiles_prune_exactly(spark, monkeypatch, tmp_path, random_vectors, random_queries):
+    monkeypatch.setattr(vector, "TILE_ROWS", 3)
+    monkeypatch.setattr(vector, "TILE_QUERIES", 2)
+    texts = [(c, e, f"text of {c}") for c, e in random_vectors]
+    spark.createDataFrame(texts, "chunk_id string, embedding array<float>, text string").repartition(4).write.parquet(str(tmp_path / "s"))
+    store = spark.read.parquet(str(tmp_path / "s"))
+    asked = spark.createDataFrame(random_queries, "query_id long, embedding array<float>")
+    near = vector.vector_topk(store, asked, 4, carry=("text",))
+    got = rows(near, "query_id", "rank", "chunk_id", order=lambda t: t)
+    assert got == brute_topk(random_vectors, random_queries, 4)
+    assert all(r["text"] == f"text of {r['chunk_id']}" for r in near.collect())
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    reads = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    # The scoring scan reads ids and vectors; text is read once more, by the join to the hits.
+    assert any("embedding" in r and "text" not in r for r in reads), reads
+
+
 def test_result_does_not_depend_on_partitions(spark, random_vectors, random_queries):
     store, asked = frames_of(spark, random_vectors, random_queries)
     a = rows(vector.vector_topk(store.repartition(1), asked, 3, carry=()))
