@@ -169,29 +169,156 @@ def query_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
 def bm25_search(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` chunks per ``(query_id, query)``: query_id, rank, score, chunk_id.
 
-    Every chunk that shares a word with the query is scored. A bounded set of
-    query terms is broadcast; postings are then hashed by chunk at most once
-    (only those of asked words), and scores are complete in one task. A larger
-    set is joined on (term, salt), so that a frequent word is spread.
+    Every chunk that shares a word with the query is scored. While the query terms are few (checked against
+    ``MAX_BROADCAST_TERMS``) they go to every task, postings lie by chunk (hashed once, only those of asked words,
+    unless Spark knows them hashed already) and sorted within their task, and each task scores chunk after
+    chunk in Arrow (:func:`_score_chunks`): no (query, chunk) pair becomes a row, each query keeps its running
+    ``k`` best, and only rows that can still rank leave the task. More query terms are joined on (term, salt).
     """
-    terms = query_terms(index, queries)
     postings = index.postings.where(F.col("term").isNotNull())
+    avgdl = index.totals.select("avgdl").scalar()
     if at_most(tokenize(queries, "query").select(F.explode_outer("tokens")), MAX_BROADCAST_TERMS):
+        terms = query_terms(index, queries)
         if not index.by_chunk:
             asked = F.broadcast(terms.select("term").distinct())
             postings = postings.join(asked, "term", "left_semi").repartition("chunk_id")
-        matched = postings.join(F.broadcast(terms), "term")
-    else:
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
-        matched = postings.withColumn("_salt", salt).join(terms.withColumn("_salt", copies), ["term", "_salt"])
-    avgdl = index.totals.select("avgdl").scalar()
+        weights = terms.select("query_id", "term", (F.col("mult") * F.col("idf")).alias("w")).toArrow()
+        mean = index.totals.select("avgdl").head()
+        mean = float(mean[0]) if mean and mean[0] else 1.0
+        scored = _score_chunks(postings.sortWithinPartitions("chunk_id"), weights, queries, k, mean)
+        return rank_hits(scored, k)
+    terms = query_terms(index, queries)
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+    matched = postings.withColumn("_salt", salt).join(terms.withColumn("_salt", copies), ["term", "_salt"])
     length = F.col("dl") / F.when(avgdl == 0.0, F.lit(1.0)).otherwise(avgdl)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     scored = matched.groupBy("query_id", "chunk_id").agg(F.sum(F.col("mult") * part).alias("score"))
     return rank_hits(scored.where(F.col("score") > 0.0), k)
 
 
+# Pairs of (posting, query) that one step of a task expands at most; a chunk is never cut.
+MAX_PAIRS = 1 << 20
+
+
+def _score_chunks(postings: DataFrame, weights, queries: DataFrame, k: int, avgdl: float) -> DataFrame:
+    """Per task, document at a time: the rows ``(query_id, chunk_id, score)`` that can still reach a top ``k``.
+
+    ``postings`` are sorted by chunk within each task, so a chunk's rows are neighbours; the last chunk of an
+    Arrow batch waits for the next batch. Each step expands the postings of whole chunks into (posting, query)
+    pairs in memory, at most about ``MAX_PAIRS``, sums them per (chunk, query) and keeps, per query, the scores
+    at or above both the step's ``k``-th best and the task's running ``k``-th best (ties stay for the ranking).
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from millrace.session import ship
+
+    spark = postings.sparkSession
+    terms = weights.column("term").combine_chunks()
+    vocab = pc.unique(terms)
+    # Query ids may be structs (sub-queries), which Arrow cannot look up: numbered here, as the rows are bounded.
+    asked = weights.column("query_id").combine_chunks()
+    seen: dict = {}
+    q_idx = np.array([seen.setdefault(_hashable(x), len(seen)) for x in asked.to_pylist()], dtype=np.int64)
+    firsts = np.unique(q_idx, return_index=True)[1] if len(q_idx) else np.zeros(0, dtype=np.int64)
+    query_ids = asked.take(pa.array(firsts, pa.int64()))
+    t_idx = pc.index_in(terms, value_set=vocab).to_numpy(zero_copy_only=False)
+    order = np.argsort(t_idx, kind="stable")
+    starts = np.searchsorted(t_idx[order], np.arange(len(vocab) + 1))
+    by_term = (starts, q_idx[order], weights.column("w").to_numpy()[order].astype(np.float64))
+    shared = spark.sparkContext.broadcast((vocab, query_ids, by_term))
+    ship(spark)
+    schema = T.StructType(
+        [queries.schema["query_id"], T.StructField("chunk_id", postings.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]
+    )
+    arrow_schema = to_arrow_schema(schema)
+    digits = 10.0**9
+
+    def run(batches):
+        vocab, query_ids, (starts, q_of, w_of) = shared.value
+        n_q = len(query_ids)
+        best = np.full((n_q, k), -np.inf)
+
+        def step(ids, codes, t, tf, dl):
+            """Scores of whole chunks; rows that can still rank, and the running k best moved on."""
+            counts = starts[t + 1] - starts[t]
+            rep = np.repeat(np.arange(len(t)), counts)
+            at = np.arange(len(rep)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[t], counts)
+            q, w = q_of[at], w_of[at]
+            part = w * tf[rep] * (K1 + 1) / (tf[rep] + K1 * (1 - B + B * dl[rep] / avgdl))
+            pair, inverse = np.unique(codes[rep] * n_q + q, return_inverse=True)
+            score = np.bincount(inverse, weights=part, minlength=len(pair))
+            chunk_of, q_pair = pair // n_q, pair % n_q
+            ranked = np.rint(score * digits)
+            by = np.lexsort((-ranked, q_pair))
+            q_sorted = q_pair[by]
+            place = np.arange(len(by)) - np.searchsorted(q_sorted, q_sorted, side="left")
+            top, top_place = by[place < k], place[place < k]
+            step_best = np.full((n_q, k), -np.inf)
+            step_best[q_pair[top], k - 1 - top_place] = ranked[top]
+            cut = np.maximum(step_best[:, 0], best[:, 0])
+            keep = np.flatnonzero((ranked >= cut[q_pair]) & (score > 0.0))
+            both = np.concatenate([best, step_best], axis=1)
+            both.sort(axis=1)
+            best[:, :] = both[:, -k:]
+            if len(keep):
+                columns = [query_ids.take(pa.array(q_pair[keep])), ids.take(pa.array(chunk_of[keep])), pa.array(score[keep], pa.float64())]
+                return pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+            return None
+
+        def whole_chunks(table):
+            """Known postings of ``table`` in groups of whole chunks of at most about ``MAX_PAIRS`` pairs."""
+            t = pc.index_in(table.column("term").combine_chunks(), value_set=vocab).fill_null(-1).to_numpy(zero_copy_only=False)
+            known = np.flatnonzero(t >= 0)
+            if not len(known):
+                return
+            encoded = pc.dictionary_encode(table.column("chunk_id").combine_chunks())
+            ids, codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)[known]
+            t = t[known]
+            tf = table.column("tf").to_numpy().astype(np.float64)[known]
+            dl = table.column("dl").to_numpy().astype(np.float64)[known]
+            heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            pairs = np.cumsum(starts[t + 1] - starts[t])
+            before = np.r_[0, pairs][heads]  # pairs ahead of each chunk
+            at = 0
+            while at < len(heads):
+                # The chunks that fit after this one; always at least one.
+                stop = max(at + 1, int(np.searchsorted(before, before[at] + MAX_PAIRS, side="right")) - 1)
+                lo, hi = heads[at], heads[stop] if stop < len(heads) else len(t)
+                out = step(ids, codes[lo:hi], t[lo:hi], tf[lo:hi], dl[lo:hi])
+                if out is not None:
+                    yield out
+                at = stop
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            n = table.num_rows
+            if n == 0:
+                continue
+            chunk_col = table.column("chunk_id").combine_chunks()
+            last = chunk_col[n - 1]
+            same = pc.is_null(chunk_col) if not last.is_valid else pc.fill_null(pc.equal(chunk_col, last), False)
+            same = same.to_numpy(zero_copy_only=False)
+            cut_at = int(np.argmax(same))
+            held = table.slice(cut_at)
+            yield from whole_chunks(table.slice(0, cut_at))
+        if held is not None:
+            yield from whole_chunks(held)
+
+    return postings.select("chunk_id", "term", "tf", "dl").mapInArrow(run, schema)
+
+
+def _hashable(value):
+    return tuple(sorted(value.items())) if isinstance(value, dict) else value
+
+
 def with_chunks(hits: DataFrame, store: DataFrame, columns: tuple[str, ...], few_hits: bool) -> DataFrame:
     """Add stored columns to hits; a bounded set of hits goes to the store's rows."""
     side = F.broadcast(hits) if few_hits else hits

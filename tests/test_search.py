@@ -158,13 +158,15 @@ def worded():
     return docs, queries
 
 
-@pytest.mark.parametrize("mode", ["plan", "kept", "saved", "shuffled"])
+@pytest.mark.parametrize("mode", ["plan", "kept", "saved", "shuffled", "steps"])
 def test_bm25_matches_brute_force(spark, monkeypatch, tmp_path, worded, mode):
     docs, queries = worded
     chunks = spark.createDataFrame(docs, "chunk_id string, text string").repartition(4)
     asked = make_queries(spark, queries)
     if mode == "shuffled":  # more query words than may be broadcast
         monkeypatch.setattr(keyword, "MAX_BROADCAST_TERMS", 2)
+    if mode == "steps":  # one chunk per step of the task
+        monkeypatch.setattr(keyword, "MAX_PAIRS", 1)
     index = keyword.bm25_index(chunks)
     if mode == "kept":
         index = index.kept()
@@ -175,6 +177,21 @@ def test_bm25_matches_brute_force(spark, monkeypatch, tmp_path, worded, mode):
     assert got == sorted(want)
 
 
+def test_bm25_tasks_send_no_pairs(spark, worded):
+    """A stop word asked by every query: each task sends about k rows per query, not one per chunk."""
+    docs, _ = worded
+    chunks = spark.createDataFrame(docs, "chunk_id string, text string").repartition(4)
+    asked = make_queries(spark, [f"the q{i}" for i in range(30)])
+    index = keyword.bm25_index(chunks)
+    terms = keyword.query_terms(index, asked)
+    weights = terms.select("query_id", "term", (F.col("mult") * F.col("idf")).alias("w")).toArrow()
+    postings = index.postings.where("term IS NOT NULL").sortWithinPartitions("chunk_id")
+    sent = keyword._score_chunks(postings, weights, asked, 3, 10.0)
+    tasks = postings.rdd.getNumPartitions()
+    # Copies of one text tie, and ties at the boundary stay; still far fewer than 30 x 150 chunks with "the".
+    assert sent.count() < 30 * tasks * 80
+
+
 def test_bm25_bucketed_tables_need_no_shuffle_by_chunk(spark, worded):
     docs, queries = worded
     chunks = spark.createDataFrame(docs, "chunk_id string, text string")
