@@ -41,7 +41,7 @@ def entropy_levels(data: bytes) -> np.ndarray:
     The sum of ``c log c`` over byte counts is carried from window to window in whole numbers, so a window has
     the same level wherever it stands.
     """
-    x = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    x = np.frombuffer(data, dtype=np.uint8)
     n = len(x)
     m = n - WINDOW + 1
     if m <= 0:
@@ -50,15 +50,16 @@ def entropy_levels(data: bytes) -> np.ndarray:
     if m == 1:
         sums = np.array([first], dtype=np.int64)
     else:
-        keys = np.sort(x * (n + 1) + np.arange(n))
-        i = np.arange(m - 1)
-
-        def count(values, lo, hi):
-            base = values * (n + 1)
-            return np.searchsorted(keys, base + hi) - np.searchsorted(keys, base + lo)
-
-        leaving = count(x[i], i, i + WINDOW)
-        coming = count(x[i + WINDOW], i + 1, i + WINDOW)
+        # Positions grouped by byte (a radix sort) and ascending inside a group; the needles below come in
+        # ascending order too, so each search is one pass.
+        order = np.argsort(x, kind="stable")
+        keys = x[order].astype(np.int64) * (n + 2 * WINDOW) + order
+        rank = np.arange(n)
+        ahead, behind = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        ahead[order] = np.searchsorted(keys, keys + WINDOW) - rank  # same byte in [p, p + WINDOW)
+        behind[order] = rank - np.searchsorted(keys, keys - (WINDOW - 1))  # same byte in (p - WINDOW, p)
+        leaving = ahead[: m - 1]
+        coming = behind[WINDOW:]
         steps = _C_LOG_C[leaving - 1] - _C_LOG_C[leaving] + _C_LOG_C[coming + 1] - _C_LOG_C[coming]
         sums = np.concatenate([[first], first + np.cumsum(steps)])
     return np.clip((LEVELS * (_FULL - sums)) // _FULL, 0, LEVELS)
@@ -93,6 +94,16 @@ def rarity_ranks(counts: DataFrame) -> list[int]:
     return ranks
 
 
+def _sliding_first_min(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least key of every run of ``width`` neighbours (van Herk / Gil-Werman: blocks, prefix and suffix minima)."""
+    n = len(keys)
+    pad = (-n) % width
+    blocks = np.concatenate([keys, np.full(pad, np.iinfo(np.int64).max)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
 def features(data: bytes, ranks: np.ndarray) -> np.ndarray:
     """Starts of the feature windows, in text order."""
     levels = entropy_levels(data)
@@ -103,32 +114,51 @@ def features(data: bytes, ranks: np.ndarray) -> np.ndarray:
     if m < NEIGHBOURHOOD:
         best = int(np.argmin(r))
         return np.array([best] if r[best] < _UNRANKED else [], dtype=np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(r, NEIGHBOURHOOD)
-    winners = runs.argmin(axis=1) + np.arange(len(runs))
+    # Rank above, place below: the least key is the rarest window, the leftmost of equals.
+    keys = (np.minimum(r, LEVELS + 1) << 44) | np.arange(m, dtype=np.int64)
+    winners = _sliding_first_min(keys, NEIGHBOURHOOD) & ((1 << 44) - 1)
     wins = np.bincount(winners, minlength=m)
     return np.nonzero((wins >= POPULAR) & (r < _UNRANKED))[0]
 
 
+_MIX = np.random.default_rng(20240611).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
+
+
+_BIT = [1 << p for p in range(FILTER_BITS)]
+_SHIFTS = np.array([11 * j for j in range(HASHES)], dtype=np.uint64)
+
+
+def _feature_places(data: bytes, starts: np.ndarray) -> list[list[int]]:
+    """The filter bits of each feature window: a random linear form of its bytes, mixed, cut in 11-bit parts."""
+    if not len(starts):
+        return []
+    x = np.frombuffer(data, dtype=np.uint8)
+    windows = x[starts[:, None] + np.arange(WINDOW)].astype(np.uint64)
+    h = (windows * _MIX).sum(axis=1, dtype=np.uint64)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return ((h[:, None] >> _SHIFTS) & np.uint64(FILTER_BITS - 1)).tolist()
+
+
 def digest(text: str | None, ranks: np.ndarray) -> str:
     """The digest of a text: filters as ``<features, 2 hex><FILTER_BITS / 4 hex>``, comma-joined; empty if none.
 
     A feature whose bits are all set already (a repeat) is not counted again.
     """
     data = (text or "").encode()
-    filters, bits, n = [], np.zeros(FILTER_BITS // 8, dtype=np.uint8), 0
-    for start in features(data, ranks):
-        h = int.from_bytes(hashlib.blake2b(data[start : start + WINDOW], digest_size=8).digest(), "little")
-        places = [(h >> (11 * j)) & (FILTER_BITS - 1) for j in range(HASHES)]
-        if all(bits[p >> 3] >> (p & 7) & 1 for p in places):
+    filters, bits, n = [], 0, 0
+    for a, b, c, d, e in _feature_places(data, features(data, ranks)):
+        mask = _BIT[a] | _BIT[b] | _BIT[c] | _BIT[d] | _BIT[e]
+        if bits & mask == mask:
             continue
-        for p in places:
-            bits[p >> 3] |= 1 << (p & 7)
+        bits |= mask
         n += 1
         if n == PER_FILTER:
-            filters.append(f"{n:02x}{bits.tobytes().hex()}")
-            bits, n = np.zeros(FILTER_BITS // 8, dtype=np.uint8), 0
+            filters.append(f"{n:02x}{bits.to_bytes(FILTER_BITS // 8, 'little').hex()}")
+            bits, n = 0, 0
     if n:
-        filters.append(f"{n:02x}{bits.tobytes().hex()}")
+        filters.append(f"{n:02x}{bits.to_bytes(FILTER_BITS // 8, 'little').hex()}")
     return ",".join(filters)
 
 
