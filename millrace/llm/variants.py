@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ascii_lower, with_text_columns
-from millrace.session import written
+from millrace.llm.common import ascii_lower, numbered
+from millrace.session import ship, written
 
 # Fixed by the operator's definition: letters of a run, least length and count of a word, the deletion rule.
 LETTERS = "[A-Za-zÀ-ÿ]+"
@@ -55,32 +55,79 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return counted.where(F.col("n") >= MIN_COUNT)
 
 
-def _trie_numbers():
-    (p1, p2), (b1, b2) = MODULI, BASES
-
-    def one(word):
-        codes = [ord(c) + 1 for c in word or ""]
-        size = len(codes)
-        pre, suf = [0] * (size + 1), [0] * (size + 1)
-        a = b = 0
-        for i, c in enumerate(codes):
-            a, b = (a * b1 + c) % p1, (b * b2 + c) % p2
-            pre[i + 1] = (a << 31) | b
-        a = b = 0
-        for i in range(size - 1, -1, -1):
-            a, b = (a * b1 + codes[i]) % p1, (b * b2 + codes[i]) % p2
-            suf[i] = (a << 31) | b
-        return pre, suf
-
-    return one
-
-
-NODES = T.StructType([T.StructField("pre", T.ArrayType(T.LongType())), T.StructField("suf", T.ArrayType(T.LongType()))])
-
+PLACES = T.StructType(
+    [
+        T.StructField("wid", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("i", T.LongType()),
+        T.StructField("pre", T.LongType()),
+        T.StructField("suf", T.LongType()),
+        T.StructField("skip_suf", T.LongType()),
+        T.StructField("first", T.BooleanType()),
+    ]
+)
+# Place rows that one Arrow batch of the numbering holds at most.
+BATCH_PLACES = 1 << 16
+
+
+def trie_places(vocab: DataFrame) -> DataFrame:
+    """One row per place ``i`` (0 .. length) of every word of ``vocab`` (``wid, n, word``).
+
+    ``pre`` and ``suf`` number the trie nodes of ``word[:i]`` and ``word[i:]``; ``skip_suf`` that of
+    ``word[i+1:]`` (null at the end); ``first`` says that place ``i`` starts a run of equal code points. Rows carry
+    the word's number, never the word, so a long word costs rows in proportion to its length; batches are cut at
+    ``BATCH_PLACES`` rows.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def _best(n: Column, word: Column) -> Column:
-    """Orders so that ``min`` is the largest ``n``, then the smallest word in code-point order."""
-    return F.struct((-n).alias("neg_n"), word.alias("word"))
+    (p1, p2), (b1, b2) = MODULI, BASES
+    schema = to_arrow_schema(PLACES)
+
+    def run(batches):
+        out = {f.name: [] for f in PLACES.fields}
+
+        def flush():
+            batch = pa.RecordBatch.from_pydict(out, schema=schema)
+            for column in out.values():
+                column.clear()
+            return batch
+
+        for batch in batches:
+            for wid, n, word in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = [ord(c) + 1 for c in word]
+                size = len(codes)
+                pre, suf = [0] * (size + 1), [0] * (size + 1)
+                a = b = 0
+                for i, c in enumerate(codes):
+                    a, b = (a * b1 + c) % p1, (b * b2 + c) % p2
+                    pre[i + 1] = (a << 31) | b
+                a = b = 0
+                for i in range(size - 1, -1, -1):
+                    a, b = (a * b1 + codes[i]) % p1, (b * b2 + codes[i]) % p2
+                    suf[i] = (a << 31) | b
+                for i in range(size + 1):
+                    out["wid"].append(wid)
+                    out["n"].append(n)
+                    out["size"].append(size)
+                    out["i"].append(i)
+                    out["pre"].append(pre[i])
+                    out["suf"].append(suf[i])
+                    out["skip_suf"].append(suf[i + 1] if i < size else None)
+                    out["first"].append(i == 0 or (i < size and codes[i] != codes[i - 1]))
+                    if len(out["wid"]) >= BATCH_PLACES:
+                        yield flush()
+        if out["wid"]:
+            yield flush()
+
+    ship(vocab.sparkSession)
+    return vocab.select("wid", "n", "word").mapInArrow(run, PLACES)
+
+
+def _best(n: Column, wid: Column) -> Column:
+    """Orders so that ``min`` is the largest ``n``, then the smallest word (word numbers follow code-point order)."""
+    return F.struct((-n).alias("neg_n"), wid.alias("wid"))
 
 
 def spelling_variants(words: DataFrame) -> DataFrame:
@@ -93,70 +140,72 @@ def spelling_variants(words: DataFrame) -> DataFrame:
     (the word itself when it has no form); as a form has at least twice the count, no chain is a loop.
     Rows with a null or empty word are dropped, repeated words are summed, other columns are not kept.
     An empty table gives no rows. Code points order words as Spark orders strings (UTF-8 bytes agree).
+
+    Words are numbered once in code-point order (the vocabulary is written then), and everything after works on
+    numbers: the joins of split and skip pairs, the groups of replacements, forms and roots.
     """
-    words = (
-        words.where(F.length("word") > 0)
-        .groupBy("word")
-        .agg(F.sum("n").cast("bigint").alias("n"))
-    )
-    numbered = written(with_text_columns(words.select("n", "word"), "word", _trie_numbers, NODES), "variant-nodes")
-    size = F.length("word")
-    places = numbered.select("word", "n", "pre", "suf", F.explode(F.sequence(F.lit(0), size)).alias("i"))
+    summed = words.where(F.length("word") > 0).groupBy("word").agg(F.sum("n").cast("bigint").alias("n"))
+    vocab = written(numbered(summed, ["word"], "wid", "variant-vocab"), "variant-vocab")
+    places = written(trie_places(vocab), "variant-places")
     splits = places.select(
-        F.col("word").alias("short"), F.col("n").alias("short_n"),
-        F.get("pre", "i").alias("k1"), F.get("suf", "i").alias("k2"),
+        F.col("wid").alias("short"), F.col("n").alias("short_n"), F.col("size").alias("short_size"),
+        F.col("pre").alias("k1"), F.col("suf").alias("k2"),
     )
-    skip_rows = places.where(F.col("i") < size).select(
-        "word", "n",
-        F.get("pre", "i").alias("k1"), F.get("suf", F.col("i") + 1).alias("k2"),
-        ((F.col("i") == 0) | (F.substring("word", F.col("i"), 1) != F.substring("word", F.col("i") + 1, 1))).alias("first"),
+    skips = places.where(F.col("i") < F.col("size")).select(
+        "wid", "n", "size", F.col("pre").alias("k1"), F.col("skip_suf").alias("k2"), "first"
     )
-    skips = written(skip_rows, "variant-skips")
-
-    # Deletions: a skip pair of the longer word is a split pair of the shorter one (at most one such word).
-    deleted = skips.where("first").join(splits, ["k1", "k2"])
-    deleted = deleted.where(F.levenshtein("word", "short", 1) == 1)
-    by_deletion = deleted.select(
-        F.col("word"), F.lit(1).cast("bigint").alias("count"), _best(F.col("short_n"), F.col("short")).alias("best")
-    ).unionByName(
-        deleted.select(F.col("short").alias("word"), F.lit(1).cast("bigint").alias("count"), _best(F.col("n"), F.col("word")).alias("best"))
+
+    # Deletions: a skip pair of the longer word is a split pair of the shorter one (at most one such word),
+    # confirmed on the words themselves.
+    deleted = skips.where("first").join(splits, ["k1", "k2"]).where(F.col("short_size") == F.col("size") - 1)
+    spelled = vocab.select("wid", "word")
+    deleted = (
+        deleted.select("wid", "n", "short", "short_n")
+        .join(spelled, "wid")
+        .join(spelled.select(F.col("wid").alias("short"), F.col("word").alias("short_word")), "short")
+        .where(F.levenshtein("word", "short_word", 1) == 1)
+    )
+    one = F.lit(1).cast("bigint").alias("count")
+    by_deletion = deleted.select("wid", one, _best(F.col("short_n"), F.col("short")).alias("best")).unionByName(
+        deleted.select(F.col("short").alias("wid"), one, _best(F.col("n"), F.col("wid")).alias("best"))
     )
 
     # Replacements: words with one skip pair in common; each group gives its size and best two members.
-    groups = skips.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min(_best(F.col("n"), F.col("word"))).alias("b1"))
-    members = skips.join(groups.where("size > 1"), ["k1", "k2"])
+    groups = skips.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("group"), F.min(_best(F.col("n"), F.col("wid"))).alias("b1"))
+    members = skips.join(groups.where("group > 1"), ["k1", "k2"])
     seconds = (
-        members.where(F.col("word") != F.col("b1.word"))
+        members.where(F.col("wid") != F.col("b1.wid"))
         .groupBy("k1", "k2")
-        .agg(F.min(_best(F.col("n"), F.col("word"))).alias("b2"))
+        .agg(F.min(_best(F.col("n"), F.col("wid"))).alias("b2"))
     )
     by_replacement = members.join(seconds, ["k1", "k2"]).select(
-        "word",
-        (F.col("size") - 1).alias("count"),
-        F.when(F.col("word") == F.col("b1.word"), F.col("b2")).otherwise(F.col("b1")).alias("best"),
+        "wid",
+        (F.col("group") - 1).alias("count"),
+        F.when(F.col("wid") == F.col("b1.wid"), F.col("b2")).otherwise(F.col("b1")).alias("best"),
     )
 
-    near = by_deletion.unionByName(by_replacement).groupBy("word").agg(
-        F.sum("count").alias("n_near"), F.min("best").alias("best")
-    )
-    judged = words.join(near, "word", "left")
+    near = by_deletion.unionByName(by_replacement).groupBy("wid").agg(F.sum("count").alias("n_near"), F.min("best").alias("best"))
     has_form = -F.col("best.neg_n") >= 2 * F.col("n")
     formed = written(
-        judged.select(
-            "word",
+        vocab.join(near, "wid", "left").select(
+            "wid",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
-            F.when(has_form, F.col("best.word")).alias("form"),
+            F.when(has_form, F.col("best.wid")).alias("form_wid"),
             F.when(has_form, -F.col("best.neg_n")).cast("bigint").alias("form_n"),
         ),
         "variant-forms",
     )
-    roots = follow_forms(formed.select("word", "form"))
-    return formed.join(roots, "word").select("word", "form", "root", "n", "n_near", "form_n")
+    roots = follow_forms(formed.select(F.col("wid").alias("word"), F.col("form_wid").alias("form")))
+    named = formed.join(roots.withColumnRenamed("word", "wid"), "wid").join(spelled, "wid")
+    named = named.join(spelled.select(F.col("wid").alias("form_wid"), F.col("word").alias("form")), "form_wid", "left")
+    named = named.join(spelled.select(F.col("wid").alias("root"), F.col("word").alias("root_word")), "root")
+    return named.select("word", "form", F.col("root_word").alias("root"), "n", "n_near", "form_n")
 
 
 def follow_forms(links: DataFrame) -> DataFrame:
-    """``word, root``: forms followed to their end by pointer doubling, one written table per round.
+    """``word, root`` from ``word, form`` (any type): forms followed to their end by pointer doubling, one written
+    table per round.
 
     Each round replaces a word's pointer by its pointer's pointer, so a chain of length ``c`` ends after
     about log2(c) rounds; one count per round tells whether any pointer still moves.
