@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import text as tx
 
@@ -82,22 +84,41 @@ def object_uri(path: str) -> str:
     return f"{scheme}:{quote(rest, safe='/:@')}"
 
 
-def _read_objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_objects(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     for batch in batches:
-        for row in batch.to_dict("records"):
-            content, error = None, None
+        named = [c for c in ("path", "length") if c in batch.schema.names]
+        for i, row in enumerate(batch.select(named).to_pylist()):
+            content, error = pa.nulls(1, pa.binary()), None
             try:
                 if row.get("length") is not None and row["length"] > MAX_CELL:
                     raise ValueError(f"{row['length']} bytes are too many for one cell")
                 system, path = fs.FileSystem.from_uri(object_uri(row["path"]))
-                with system.open_input_stream(path) as stream:
-                    content = stream.read()
+                content = _cell(_whole(system, path))
             except Exception as exc:  # a vanished object must not stop the job
                 error = f"{type(exc).__name__}: {exc}"
             # One object per output batch keeps a task's memory at one object.
-            yield pd.DataFrame([{**row, "content": content, "fetch_error": error}])
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content, pa.array([error], pa.string())], schema=schema)
+
+
+def _whole(system, path: str) -> pa.Buffer:
+    """An object's bytes in one buffer; a stream unpacks what is packed by its suffix."""
+    try:
+        pa.Codec.detect(path)
+    except (TypeError, ValueError):  # no such suffix
+        with system.open_input_file(path) as file:
+            return file.read_buffer()
+    with system.open_input_stream(path) as stream:
+        return pa.py_buffer(stream.read())
+
+
+def _cell(content: pa.Buffer) -> pa.Array:
+    """One binary value on the bytes as they were read, without a copy."""
+    if content.size > MAX_CELL:
+        raise ValueError(f"{content.size} bytes are too many for one cell")
+    offsets = pa.py_buffer(np.array([0, content.size], dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, offsets, content])
 
 
 def fetch_changed(changed: DataFrame) -> DataFrame:
@@ -107,7 +128,8 @@ def fetch_changed(changed: DataFrame) -> DataFrame:
     read leaves ``content`` NULL with the reason in ``fetch_error``.
     """
     schema = T.StructType(list(changed.schema.fields)).add("content", "binary").add("fetch_error", "string")
-    return changed.mapInPandas(_read_objects, schema=schema)
+    arrow_schema = to_arrow_schema(schema)
+    return changed.mapInArrow(lambda batches: _read_objects(batches, arrow_schema), schema)
 
 
 def fetch_errors(fetched: DataFrame) -> DataFrame:

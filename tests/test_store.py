@@ -80,6 +80,29 @@ def test_fetch_survives_a_vanished_file(spark, folder):
     assert [r["path"].rsplit("/", 1)[1] for r in files.fetch_errors(fetched).collect()] == ["b.txt"]
 
 
+def test_fetch_holds_an_object_once(tmp_path):
+    """The bytes reach the batch without a copy; packed objects are still unpacked."""
+    import gzip
+    import tracemalloc
+
+    import pyarrow as pa
+
+    size = 8 << 20
+    (tmp_path / "big.bin").write_bytes(b"x" * size)
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(b"inside"))
+    paths = pa.array([str(tmp_path / n) for n in ("big.bin", "packed.gz", "none.bin")])
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("fetch_error", pa.string())])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    read = files._read_objects([pa.RecordBatch.from_arrays([paths], names=["path"])], schema)
+    first = next(read)
+    assert tracemalloc.get_traced_memory()[1] < size / 4 and pa.total_allocated_bytes() - before < 1.5 * size
+    tracemalloc.stop()
+    assert len(first.column(1)[0].as_buffer()) == size
+    rest = [x.to_pylist()[0] for x in read]
+    assert rest[0]["content"] == b"inside" and rest[1]["content"] is None and "none.bin" in rest[1]["fetch_error"]
+
+
 # --- incremental index ----------------------------------------------------
 
 
