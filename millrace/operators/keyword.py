@@ -74,12 +74,97 @@ class KeywordIndex:
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
-    """Term counts per chunk, complete within one shuffle of the texts."""
+    """Term counts per chunk, complete within one shuffle of the texts.
+
+    The texts are sorted by chunk within their task and their words counted step by step in Arrow, so a task
+    holds no table of all its (chunk, term) pairs. Rows of one chunk id that have as many words count as one.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from millrace.session import ship
+
+    ship(chunks.sparkSession)
     # Tokens are made after the shuffle: texts are smaller than their tokens.
-    tokens = tokenize(chunks.select("chunk_id", "text").repartition("chunk_id"))
-    # explode_outer: for explode, Spark would add filters that tokenise again.
-    rows = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    texts = chunks.select("chunk_id", "text").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    tokens = tokenize(texts).select("chunk_id", F.size("tokens").alias("dl"), "tokens")
+    fields = [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
+    schema = T.StructType([*tokens.schema.fields[:2], *fields])
+    arrow_schema = to_arrow_schema(schema)
+    return tokens.mapInArrow(lambda batches: _count_terms(batches, arrow_schema), schema)
+
+
+# Words of one step of a task that counts them; a text is never cut.
+STEP_WORDS = 1 << 18
+# Rows of a chunk that goes on over steps are merged once there are so many more of them, and twice as many.
+MERGE_ROWS = 1 << 16
+
+
+def _count_terms(batches, schema):
+    """``(chunk_id, dl, term, tf)`` of ``(chunk_id, dl, tokens)`` sorted by chunk; no words are one NULL term.
+
+    A step holds the words of whole texts, about ``STEP_WORDS`` at most, and the counts of the last chunk.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys = ["chunk_id", "dl", "term"]
+
+    def summed(parts):
+        table = pa.concat_tables(parts)
+        if len(parts) > 1:
+            table = table.group_by(keys, use_threads=False).aggregate([("tf", "sum")]).rename_columns(schema.names)
+        return table.select(schema.names).cast(schema).combine_chunks()
+
+    def steps():
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + STEP_WORDS, side="right")))
+                yield batch.slice(at, stop - at)
+                at = stop
+
+    # Counts of the last chunk so far, which the next step may go on with.
+    open_id, held, merged = None, [], 0
+    for batch in steps():
+        n = batch.num_rows
+        ids = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+        words = batch.column(2)
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        empty = np.flatnonzero(counts == 0)
+        row = np.concatenate([np.repeat(np.arange(n), counts), empty])
+        flat = {
+            "code": pa.array(ids.indices.to_numpy(zero_copy_only=False)[row], pa.int32()),
+            "dl": batch.column(1).take(pa.array(row)),
+            "term": pa.concat_arrays([words.flatten(), pa.nulls(len(empty), words.type.value_type)]),
+        }
+        found = pa.table(flat).group_by(["code", "dl", "term"], use_threads=False).aggregate([([], "count_all")])
+        codes = found.column("code").combine_chunks()
+        columns = [ids.dictionary.take(codes), found.column("dl"), found.column("term"), found.column("count_all")]
+        found = pa.table(columns, names=schema.names).cast(schema)
+        codes = codes.to_numpy()
+        first, last = ids.indices[0].as_py(), ids.indices[n - 1].as_py()
+        if held and batch.column(0)[0].as_py() != open_id:
+            yield from summed(held).to_batches()
+            held, merged = [], 0
+        if held and first != last:
+            yield from summed([*held, found.filter(pa.array(codes == first))]).to_batches()
+            held, merged = [], 0
+            keep = (codes != first) & (codes != last)
+        else:
+            keep = codes != last
+        if keep.any():
+            yield from found.filter(pa.array(keep)).combine_chunks().to_batches()
+        held.append(found.filter(pa.array(codes == last)))
+        open_id = batch.column(0)[n - 1].as_py()
+        if (rows := sum(t.num_rows for t in held)) > 2 * merged + MERGE_ROWS:
+            held = [summed(held)]
+            merged = held[0].num_rows
+    if held:
+        yield from summed(held).to_batches()
 
 
 def _doc_len(postings: DataFrame) -> DataFrame:

@@ -210,6 +210,27 @@ def test_bm25_bucketed_tables_need_no_shuffle_by_chunk(spark, worded):
             spark.sql(f"DROP TABLE IF EXISTS bm25test_{t}")
 
 
+def test_postings_need_no_table_of_all_terms(spark):
+    """Counted in steps of whole texts; rows of one chunk id with as many words still count as one."""
+    import pyarrow as pa
+
+    data = [("a", "x y x"), ("a", "x z z"), ("a", "x"), ("b", ""), ("b", ""), (None, "q q r"), (None, "q"), (None, "q q r"), ("c", None)]
+    index = keyword.bm25_index(spark.createDataFrame(data, "chunk_id string, text string").repartition(3))
+    got = {(r["chunk_id"], r["dl"], r["term"]): r["tf"] for r in index.postings.collect()}
+    a = {("a", 3, "x"): 3, ("a", 3, "y"): 1, ("a", 3, "z"): 2, ("a", 1, "x"): 1}
+    b = {("b", 0, None): 2, (None, 3, "q"): 4, (None, 3, "r"): 2, (None, 1, "q"): 1}
+    assert {k: v for k, v in got.items() if k[0] != "c"} == a | b and len(got) == 9
+    assert "HashAggregate" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+    words = ["w%d" % (i % 7) for i in range(40)]
+    columns = [pa.array(["a"] * 20 + ["b"]), pa.array([2] * 21, pa.int32()), pa.array([words[2 * (i % 20) : 2 * (i % 20) + 2] for i in range(21)])]
+    schema = pa.schema([("chunk_id", pa.string()), ("dl", pa.int32()), ("term", pa.string()), ("tf", pa.int64())])
+    batches = pa.table(columns, names=["chunk_id", "dl", "tokens"]).to_batches(max_chunksize=3)
+    out = [r for x in keyword._count_terms(batches, schema) for r in x.to_pylist()]
+    assert {(r["chunk_id"], r["term"]): r["tf"] for r in out} == {("a", w): words.count(w) for w in words} | {("b", "w0"): 1, ("b", "w1"): 1}
+    assert len(out) == 9
+
+
 def test_refresh_equals_rebuild(spark, worded):
     docs, _ = worded
     before = spark.createDataFrame(docs, "chunk_id string, text string")
