@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # Query tables up to this many values (rows x dimensions) are sent to every
-# task as one matrix: 16 million doubles are 128 MB.
-MAX_QUERY_VALUES = 16_000_000
-# Store rows and queries of one tile of scores (32 MB of doubles).
-TILE_ROWS, TILE_QUERIES = 4096, 1024
+# task as one matrix: 4 million doubles are 32 MB.
+MAX_QUERY_VALUES = 4_000_000
+# Store rows and queries of one tile of scores (8 MB of doubles).
+TILE_ROWS, TILE_QUERIES = 2048, 512
 
 # Scores are ranked after rounding, so equal texts rank by id whatever the
 # order their products were summed in.
@@ -63,7 +63,8 @@ class _Pruner:
     Scores are taken in tiles of ``TILE_QUERIES x TILE_ROWS``, so a task holds one tile of scores whatever the
     sizes of store and queries. Of a tile, a query keeps the rows at or above both its ``k``-th best rounded score
     in the tile and its ``k``-th best so far; everything dropped has ``k`` rows strictly better, so ties at the
-    boundary stay and the final ranking (``rank_hits``) decides them by id.
+    boundary stay and the final ranking (``rank_hits``) decides them by id. Once all queries of a tile have ``k``
+    rows, only the scores that reach those are rounded and ranked.
     """
 
     def __init__(self, n_queries: int, k: int):
@@ -72,22 +73,44 @@ class _Pruner:
 
     def scan(self, queries: np.ndarray, asked: np.ndarray, vectors: np.ndarray):
         """``(query rows, store rows, scores)`` of the candidates, tile by tile."""
+        digits = 10.0**RANK_DIGITS
         for q0 in range(0, len(asked), TILE_QUERIES):
             qs = asked[q0 : q0 + TILE_QUERIES]
             block = queries[qs]
             for r0 in range(0, len(vectors), TILE_ROWS):
                 scores = block @ vectors[r0 : r0 + TILE_ROWS].T
-                ranked = np.rint(scores * 10.0**RANK_DIGITS)
-                width = ranked.shape[1]
-                k = min(self.k, width)
-                top = np.partition(ranked, width - k, axis=1)[:, width - k :]
-                cut = np.maximum(top.min(axis=1), self.best[qs, 0])
-                qi, ri = np.nonzero(ranked >= cut[:, None])
-                merged = np.concatenate([self.best[qs], top], axis=1)
-                merged.sort(axis=1)
-                self.best[qs] = merged[:, -self.k :]
+                cut = self.best[qs, 0]
+                if np.isfinite(cut).all():
+                    # A unit below the cut, which rounding cannot make up for.
+                    qi, ri = np.nonzero(scores >= ((cut - 1) / digits)[:, None])
+                    qi, ri = self._improve(qs, qi, ri, np.rint(scores[qi, ri] * digits))
+                else:
+                    ranked = np.rint(scores * digits)
+                    width = ranked.shape[1]
+                    k = min(self.k, width)
+                    top = np.partition(ranked, width - k, axis=1)[:, width - k :]
+                    cut = np.maximum(top.min(axis=1), cut)
+                    qi, ri = np.nonzero(ranked >= cut[:, None])
+                    merged = np.concatenate([self.best[qs], top], axis=1)
+                    merged.sort(axis=1)
+                    self.best[qs] = merged[:, -self.k :]
                 yield qs[qi], r0 + ri, scores[qi, ri]
 
+    def _improve(self, qs: np.ndarray, qi: np.ndarray, ri: np.ndarray, ranked: np.ndarray):
+        """Move the best on by these scores; the rows that still reach them."""
+        by = np.lexsort((-ranked, qi))
+        qi, ri, ranked = qi[by], ri[by], ranked[by]
+        met, first, row = np.unique(qi, return_index=True, return_inverse=True)
+        place = np.arange(len(qi)) - first[row]
+        top = place < self.k
+        merged = np.full((len(met), 2 * self.k), -np.inf)
+        merged[:, : self.k] = self.best[qs[met]]
+        merged[row[top], self.k + place[top]] = ranked[top]
+        merged.sort(axis=1)
+        self.best[qs[met]] = merged[:, -self.k :]
+        keep = ranked >= merged[row, self.k]
+        return qi[keep], ri[keep]
+
 
 def _hit_schema(store: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
     return T.StructType(

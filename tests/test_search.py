@@ -231,6 +231,23 @@ def test_postings_need_no_table_of_all_terms(spark):
     assert len(out) == 9
 
 
+def test_search_ranks_only_scores_that_reach_the_best(monkeypatch):
+    """Once every query of a tile has its k rows, no tile of scores is rounded or partitioned; ties stay."""
+    rng = np.random.default_rng(3)
+    asked, stored = np.round(rng.normal(size=(9, 4)), 1), np.round(rng.normal(size=(400, 4)), 1)
+    stored[200:] = stored[:200]
+    monkeypatch.setattr(vector, "TILE_ROWS", 50)
+    calls, whole = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    found = [x for q, r, s in vector._Pruner(9, 3).scan(asked, np.arange(9), stored) for x in zip(q, r, s, strict=True)]
+    assert len(calls) == 1
+    for i in range(9):
+        exact = np.rint(stored @ asked[i] * 1e9)
+        least = np.sort(exact)[-3]
+        got = {int(r) for q, r, _ in found if q == i}
+        assert got >= set(np.flatnonzero(exact >= least).tolist())
+
+
 def test_refresh_equals_rebuild(spark, worded):
     docs, _ = worded
     before = spark.createDataFrame(docs, "chunk_id string, text string")
