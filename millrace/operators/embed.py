@@ -24,6 +24,8 @@ from millrace.session import ship, written
 MAX_LOOKUP_VALUES = 32_000_000
 # Tokens whose vectors one task holds at once in ``embed_static``.
 BLOCK_TOKENS = 1 << 15
+# Code points of the texts that share one set of vectors when the lookup is larger; the least, if cores would idle.
+BLOCK_CHARS, LEAST_CHARS = 1 << 26, 1 << 22
 
 
 def embed_prefix(df: DataFrame, prefix: str, column: str = "text", out: str = "embed_input") -> DataFrame:
@@ -82,8 +84,8 @@ def embed_static(
     at most ``MAX_LOOKUP_VALUES`` values it is sent once to every executor as a matrix, and one narrow Arrow
     pass finds each word's row (``pyarrow.compute.index_in``) and sums vectors per text by segments
     (``numpy.add.reduceat`` over blocks of ``BLOCK_TOKENS`` tokens), so nothing is shuffled and no task holds
-    more than one block of vectors. A larger lookup is joined instead (hot terms salted). ``n_known`` counts the
-    tokens found; a text without one (null, empty, unknown words) gets the zero vector. Repeated keys are rows
+    more than one block of vectors. With a larger lookup each block of texts gets the vectors
+    of its words instead. ``n_known`` counts the tokens found; a text without one (null, empty, unknown words) gets the zero vector. Repeated keys are rows
     of their own.
     """
     spark = chunks.sparkSession
@@ -92,9 +94,7 @@ def embed_static(
     table = lookup.select(F.col("term").cast("string"), F.col("vec")).toArrow()
     vocab = table.column(0).combine_chunks()
     vecs = table.column(1).combine_chunks()
-    if len(vecs) and (vecs.null_count or not np.all(pc.list_value_length(vecs).to_numpy(zero_copy_only=False) == dim)):
-        raise ValueError(f"every lookup vector must have {dim} values")
-    matrix = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vocab), dim)
+    matrix = _vector_rows(vecs, dim)
     shared = spark.sparkContext.broadcast((vocab, matrix))
     ship(spark)
     schema = T.StructType(
@@ -104,48 +104,85 @@ def embed_static(
     def run(batches):
         terms, vectors = shared.value
         for batch in batches:
-            n = batch.num_rows
-            words = batch.column(1)
-            offsets = words.offsets.to_numpy()
-            found = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
-            segment = np.repeat(np.arange(n), np.diff(offsets))
-            known = found >= 0
-            found, segment = found[known], segment[known]
-            counts = np.bincount(segment, minlength=n)
-            sums = np.zeros((n, dim), dtype=np.float64)
-            for at in range(0, len(found), BLOCK_TOKENS):
-                rows, seg = found[at : at + BLOCK_TOKENS], segment[at : at + BLOCK_TOKENS]
-                starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-                sums[seg[starts]] += np.add.reduceat(vectors[rows], starts, axis=0, dtype=np.float64)
-            means = (sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
-            embedding = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(means.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), embedding, pa.array(counts.astype(np.int64))], schema=out_schema)
+            yield _means(batch.column(0), batch.column(1), terms, vectors, dim, out_schema)
 
     out_schema = to_arrow_schema(schema)
     words = F.coalesce(tx.words(F.col(column)), F.array().cast("array<string>"))
     return chunks.select(F.col(key), words.alias("_words")).mapInArrow(run, schema)
 
 
+def _vector_rows(vecs, dim: int) -> np.ndarray:
+    if len(vecs) and (vecs.null_count or not np.all(pc.list_value_length(vecs).to_numpy(zero_copy_only=False) == dim)):
+        raise ValueError(f"every lookup vector must have {dim} values")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vecs), dim)
+
+
+def _means(keys, words, terms, vectors: np.ndarray, dim: int, schema) -> pa.RecordBatch:
+    """Mean vectors of texts given as lists of words, and the number of their known words."""
+    n = len(keys)
+    found = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+    segment = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    known = found >= 0
+    found, segment = found[known], segment[known]
+    counts = np.bincount(segment, minlength=n)
+    sums = np.zeros((n, dim), dtype=np.float64)
+    for at in range(0, len(found), BLOCK_TOKENS):
+        rows, seg = found[at : at + BLOCK_TOKENS], segment[at : at + BLOCK_TOKENS]
+        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        sums[seg[starts]] += np.add.reduceat(vectors[rows], starts, axis=0, dtype=np.float64)
+    means = (sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
+    embedding = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(means.ravel()))
+    return pa.RecordBatch.from_arrays([keys, embedding, pa.array(counts.astype(np.int64))], schema=schema)
+
+
 def _embed_static_joined(chunks: DataFrame, lookup: DataFrame, dim: int, key: str, column: str) -> DataFrame:
-    """:func:`embed_static` for a lookup too large to send whole: token counts joined with it, hot terms salted."""
-    rows = chunks.select(key, column).withColumn("_row", F.monotonically_increasing_id())
+    """:func:`embed_static` for a lookup too large to send whole: each block of texts gets the vectors of its words.
+
+    Texts are dealt into blocks of at most about ``BLOCK_CHARS`` code points. A vector goes once to each block that has its
+    word, ahead of the block's texts, so neither (text, word) pairs nor partial sums are shuffled.
+    """
+    ship(chunks.sparkSession)
+    rows = chunks.select(key, F.col(column).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     rows = written(rows, "static-rows")
-    counts = (
-        # explode_outer: for explode, Spark would add filters that tokenise again.
-        rows.select("_row", F.explode_outer(tx.words(F.col(column))).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("_row", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    found = salted_join(counts, lookup.select("term", "vec"), "term", salt_by="_row")
-    sums = [F.sum(F.col("tf") * F.get(F.col("vec"), F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
-    totals = found.groupBy("_row").agg(F.sum("tf").alias("_n"), *sums)
-    mean = F.array(*[(F.col(f"_s{i}") / F.col("_n")).cast("float") for i in range(dim)])
-    zero = F.array(*[F.lit(0.0).cast("float")] * dim)
-    out = rows.join(totals.select("_row", "_n", mean.alias("_mean")), "_row", "left")
-    return out.select(
-        key, F.coalesce("_mean", zero).alias("embedding"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_known")
+    chars = rows.agg(F.sum(F.length("_text").cast("bigint"))).head()[0] or 0
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1 + chars // BLOCK_CHARS, min(cores, 1 + chars // LEAST_CHARS))
+    block = F.pmod(F.xxhash64("_row"), F.lit(blocks))
+    # explode_outer: for explode, Spark would add filters that tokenise again.
+    pairs = rows.select(block.alias("_block"), F.explode_outer(tx.words(F.col("_text"))).alias("term"))
+    pairs = pairs.where(F.col("term").isNotNull()).distinct()
+    words = lookup.select(F.col("term").cast("string").alias("term"), F.col("vec").cast("array<float>").alias("vec"))
+    # Terms that every block has are as many rows as blocks, so no term is a large group.
+    known = pairs.join(words, "term").select("_block", F.lit(0).alias("_side"), "term", "vec")
+    texts = rows.select(block.alias("_block"), F.lit(1).alias("_side"), key, "_text")
+    both = known.unionByName(texts, allowMissingColumns=True)
+    both = both.repartition("_block").sortWithinPartitions("_block", "_side")
+    cut = F.coalesce(tx.words(F.col("_text")), F.array().cast("array<string>"))
+    schema = T.StructType(
+        [chunks.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n_known", T.LongType())]
     )
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        now, terms, parts, vectors = None, [], [], None
+        for batch in batches:
+            blocks, sides = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            heads = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (sides[1:] != sides[:-1])])
+            for lo, hi in zip(heads, [*heads[1:], batch.num_rows], strict=True) if batch.num_rows else ():
+                part = batch.slice(lo, hi - lo)
+                if blocks[lo] != now:
+                    now, terms, parts, vectors = blocks[lo], [], [], None
+                if sides[lo] == 0:
+                    terms.append(part.column(2))
+                    parts.append(_vector_rows(part.column(3), dim))
+                    continue
+                if vectors is None:
+                    vocab = pa.concat_arrays([pa.array([], pa.string()), *terms])
+                    vectors = np.concatenate([np.zeros((0, dim), np.float32), *parts])
+                    terms, parts = [], []
+                yield _means(part.column(4), part.column(5), vocab, vectors, dim, out_schema)
+
+    return both.select("_block", "_side", "term", "vec", key, cut.alias("_words")).mapInArrow(run, schema)
 
 
 def embed_dedup_cache(

@@ -285,6 +285,19 @@ def test_static_means_against_brute_force(spark, monkeypatch, limit):
         assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-5)
 
 
+def test_static_means_of_many_words_send_no_sums(spark, monkeypatch):
+    """Beyond the bound, words and texts meet block by block: the vectors of a text are summed in one task."""
+    monkeypatch.setattr(embed, "MAX_LOOKUP_VALUES", 1)
+    monkeypatch.setattr(embed, "LEAST_CHARS", 5)
+    lookup = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(40)], "term string, vec array<float>")
+    data = [(i, f"w{i} w{i + 1} nothing") for i in range(30)] + [(7, "w0"), (None, "w1 w1"), (99, None)]
+    out = embed.embed_static(spark.createDataFrame(data, "chunk_id long, text string").repartition(3), lookup, 2)
+    got = rows(out, "chunk_id", "n_known", "embedding")
+    want = [(i, 2, [i + 0.5, 1.0]) for i in range(30)] + [(7, 1, [0.0, 1.0]), (None, 2, [1.0, 1.0]), (99, 0, [0.0, 0.0])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert "sum(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_static_embedding_is_narrow(spark):
     lookup = spark.createDataFrame([("cat", [1.0, 0.0])], "term string, vec array<float>")
     df = spark.createDataFrame([("a", "cat")], "chunk_id string, text string")
