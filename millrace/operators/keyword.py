@@ -213,7 +213,8 @@ def bm25_refresh(index: KeywordIndex, deletes: DataFrame, inserts: DataFrame) ->
     """
     gone = deletes.select("chunk_id")
     old = index.postings.join(gone, "chunk_id", "left_semi")
-    new = _postings(inserts)
+    # Written once: counted by three branches below.
+    new = written(_postings(inserts), "postings")
     postings = index.postings.join(gone, "chunk_id", "left_anti").unionByName(new)
     freq = (
         index.term_stats.select("term", "df")

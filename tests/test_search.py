@@ -260,6 +260,15 @@ def test_refresh_equals_rebuild(spark, worded):
         assert rows(getattr(fresh, name)) == rows(getattr(whole, name).select(*getattr(fresh, name).columns))
 
 
+def test_refresh_tokenises_the_new_chunks_once(spark, worded):
+    docs, _ = worded
+    index = keyword.bm25_index(spark.createDataFrame(docs, "chunk_id string, text string")).kept()
+    new = spark.createDataFrame([("n1", "another cat")], "chunk_id string, text string")
+    fresh = keyword.bm25_refresh(index, new.select("chunk_id"), new)
+    for name in ("postings", "term_stats", "totals"):
+        assert "regexp_extract_all" not in getattr(fresh, name)._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- hybrid and the whole path --------------------------------------------
 
 
