@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,22 +256,25 @@ def bm25_search(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` chunks per ``(query_id, query)``: query_id, rank, score, chunk_id.
 
     Every chunk that shares a word with the query is scored. While the query terms are few (checked against
-    ``MAX_BROADCAST_TERMS``) they go to every task, postings lie by chunk (hashed once, only those of asked words,
-    unless Spark knows them hashed already) and sorted within their task, and each task scores chunk after
-    chunk in Arrow (:func:`_score_chunks`): no (query, chunk) pair becomes a row, each query keeps its running
-    ``k`` best, and only rows that can still rank leave the task. More query terms are joined on (term, salt).
+    ``MAX_BROADCAST_TERMS``) they go to every task, and only their statistics are counted. Postings of asked words
+    are packed (:func:`_packed`), lie by chunk (hashed once, unless Spark knows them hashed already) and sorted
+    within their task, and each task scores chunk after chunk in Arrow (:func:`_score_chunks`): no (query, chunk)
+    pair becomes a row, each query keeps its running ``k`` best, and only rows that can still rank leave the task.
+    More query terms are joined on (term, salt).
     """
     postings = index.postings.where(F.col("term").isNotNull())
     avgdl = index.totals.select("avgdl").scalar()
-    if at_most(tokenize(queries, "query").select(F.explode_outer("tokens")), MAX_BROADCAST_TERMS):
-        terms = query_terms(index, queries)
-        if not index.by_chunk:
-            asked = F.broadcast(terms.select("term").distinct())
-            postings = postings.join(asked, "term", "left_semi").repartition("chunk_id")
+    words = tokenize(queries, "query").select(F.explode_outer("tokens").alias("term"))
+    if at_most(words, MAX_BROADCAST_TERMS):
+        # Few: a semi join with them goes below the count of a term's chunks, but not below its idf.
+        asked = F.broadcast(words.distinct())
+        freq = index.term_stats.select("term", "df").join(asked, "term", "left_semi")
+        terms = query_terms(replace(index, term_stats=_with_idf(freq, index.totals)), queries)
         weights = terms.select("query_id", "term", (F.col("mult") * F.col("idf")).alias("w")).toArrow()
+        postings = postings.join(asked, "term", "left_semi")
         mean = index.totals.select("avgdl").head()
         mean = float(mean[0]) if mean and mean[0] else 1.0
-        scored = _score_chunks(postings.sortWithinPartitions("chunk_id"), weights, queries, k, mean)
+        scored = _score_chunks(postings, weights, queries, k, mean, spread=not index.by_chunk)
         return rank_hits(scored, k)
     terms = query_terms(index, queries)
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int")
@@ -285,15 +288,56 @@ def bm25_search(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
 
 # Pairs of (posting, query) that one step of a task expands at most; a chunk is never cut.
 MAX_PAIRS = 1 << 20
+# Postings that one packed row holds at most.
+PACK = 1 << 12
 
 
-def _score_chunks(postings: DataFrame, weights, queries: DataFrame, k: int, avgdl: float) -> DataFrame:
+def _packed(postings: DataFrame, shared) -> DataFrame:
+    """Neighbouring postings of one chunk as one row ``(chunk_id, dl, terms, tfs)``; terms are places in the vocabulary.
+
+    A chunk may have several rows. A posting takes some 12 bytes of a sort or shuffle so, and not its chunk's id and
+    its word. Terms outside the vocabulary are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    def run(batches):
+        vocab = shared.value[0]
+        for batch in batches:
+            t = pc.index_in(batch.column(1), value_set=vocab)
+            known = pc.is_valid(t)
+            t, batch = t.filter(known), batch.filter(known)
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            dl = batch.column(3).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (dl[1:] != dl[:-1])])
+            place = np.arange(n) - np.repeat(heads, np.diff(np.r_[heads, n]))
+            heads = np.flatnonzero(place % PACK == 0)
+            ends = pa.array(np.r_[heads, n].astype(np.int32))
+            first = batch.take(pa.array(heads))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (t, batch.column(2))]
+            yield pa.RecordBatch.from_arrays([first.column(0), first.column(3), *lists], names=["chunk_id", "dl", "terms", "tfs"])
+
+    postings = postings.select("chunk_id", "term", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    lists = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.LongType()))]
+    schema = T.StructType([postings.schema["chunk_id"], T.StructField("dl", T.IntegerType()), *lists])
+    return postings.mapInArrow(run, schema)
+
+
+def _score_chunks(
+    postings: DataFrame, weights, queries: DataFrame, k: int, avgdl: float, spread: bool = False
+) -> DataFrame:
     """Per task, document at a time: the rows ``(query_id, chunk_id, score)`` that can still reach a top ``k``.
 
-    ``postings`` are sorted by chunk within each task, so a chunk's rows are neighbours; the last chunk of an
-    Arrow batch waits for the next batch. Each step expands the postings of whole chunks into (posting, query)
-    pairs in memory, at most about ``MAX_PAIRS``, sums them per (chunk, query) and keeps, per query, the scores
-    at or above both the step's ``k``-th best and the task's running ``k``-th best (ties stay for the ranking).
+    All ``postings`` of a chunk lie in one task, or are brought there with ``spread``. Packed, they are sorted by
+    chunk, so a chunk's rows are neighbours; the last chunk of an Arrow batch waits for the next batch. Each step
+    expands the postings of whole chunks into (posting, query) pairs in memory, at most about ``MAX_PAIRS``, sums
+    them per (chunk, query) and keeps, per query, the scores at or above both the step's ``k``-th best and the
+    task's running ``k``-th best (ties stay for the ranking).
     """
     import numpy as np
     import pyarrow as pa
@@ -357,25 +401,27 @@ def _score_chunks(postings: DataFrame, weights, queries: DataFrame, k: int, avgd
             return None
 
         def whole_chunks(table):
-            """Known postings of ``table`` in groups of whole chunks of at most about ``MAX_PAIRS`` pairs."""
-            t = pc.index_in(table.column("term").combine_chunks(), value_set=vocab).fill_null(-1).to_numpy(zero_copy_only=False)
-            known = np.flatnonzero(t >= 0)
-            if not len(known):
+            """Postings of ``table`` in groups of whole chunks of at most about ``MAX_PAIRS`` pairs."""
+            if not table.num_rows:
                 return
-            encoded = pc.dictionary_encode(table.column("chunk_id").combine_chunks())
-            ids, codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)[known]
-            t = t[known]
-            tf = table.column("tf").to_numpy().astype(np.float64)[known]
-            dl = table.column("dl").to_numpy().astype(np.float64)[known]
+            encoded = pc.dictionary_encode(table.column("chunk_id").combine_chunks(), null_encoding="encode")
+            ids, codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
+            dl = table.column("dl").to_numpy().astype(np.float64)
+            lists = table.column("terms").combine_chunks()
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(sizes)]  # postings ahead of each row
+            t = lists.flatten().to_numpy(zero_copy_only=False)
+            tf = table.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            pairs = np.cumsum(starts[t + 1] - starts[t])
-            before = np.r_[0, pairs][heads]  # pairs ahead of each chunk
+            pairs = np.cumsum(np.diff(starts)[t])
+            before = np.r_[0, pairs][ends[heads]]  # pairs ahead of each chunk
             at = 0
             while at < len(heads):
                 # The chunks that fit after this one; always at least one.
                 stop = max(at + 1, int(np.searchsorted(before, before[at] + MAX_PAIRS, side="right")) - 1)
-                lo, hi = heads[at], heads[stop] if stop < len(heads) else len(t)
-                out = step(ids, codes[lo:hi], t[lo:hi], tf[lo:hi], dl[lo:hi])
+                lo, hi = heads[at], heads[stop] if stop < len(heads) else table.num_rows
+                row, some = np.repeat(np.arange(lo, hi), sizes[lo:hi]), slice(ends[lo], ends[hi])
+                out = step(ids, codes[row], t[some], tf[some].astype(np.float64), dl[row])
                 if out is not None:
                     yield out
                 at = stop
@@ -398,7 +444,9 @@ def _score_chunks(postings: DataFrame, weights, queries: DataFrame, k: int, avgd
         if held is not None:
             yield from whole_chunks(held)
 
-    return postings.select("chunk_id", "term", "tf", "dl").mapInArrow(run, schema)
+    packed = _packed(postings, shared)
+    packed = packed.repartition("chunk_id") if spread else packed
+    return packed.sortWithinPartitions("chunk_id").mapInArrow(run, schema)
 
 
 def _hashable(value):

@@ -231,6 +231,30 @@ def test_postings_need_no_table_of_all_terms(spark):
     assert len(out) == 9
 
 
+def test_bm25_sorts_packed_postings_and_counts_asked_words(spark, monkeypatch):
+    """A sort or shuffle of a search holds no row per posting, and the other words' chunks are not counted."""
+    docs = [(f"d{i:02d}", " ".join(f"w{j}" for j in range(i % 7, 30))) for i in range(40)]
+    chunks = spark.createDataFrame([*docs, (None, "w9 w9"), ("null", None)], "chunk_id string, text string").repartition(3)
+    index = keyword.bm25_index(chunks).kept()
+    asked = make_queries(spark, ["w1 w9 w9 w20", "w0 w29"])
+    taken, packed = [], keyword._packed
+    monkeypatch.setattr(keyword, "_packed", lambda *a: taken.append(packed(*a)) or taken[-1])
+    counted, with_idf = [], keyword._with_idf
+    monkeypatch.setattr(keyword, "_with_idf", lambda *a: counted.append(a[0]) or with_idf(*a))
+    hits = keyword.bm25_search(index, asked, 50).collect()
+    assert {r["chunk_id"] for r in hits} == {None, *(i for i, _ in docs)}
+    assert 2 * taken[0].count() < sum(len(r["terms"]) for r in taken[0].collect())
+    plan = counted[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [term") < plan.index("LeftSemi")
+
+    # A chunk in many rows, in steps, gives the same.
+    monkeypatch.setattr(keyword, "PACK", 2)
+    monkeypatch.setattr(keyword, "MAX_PAIRS", 3)
+    again = keyword.bm25_search(index, asked, 50).collect()
+    near = lambda found: sorted((r["query_id"], r["rank"], str(r["chunk_id"]), round(r["score"], 9)) for r in found)
+    assert near(again) == near(hits)
+
+
 def test_search_ranks_only_scores_that_reach_the_best(monkeypatch):
     """Once every query of a tile has its k rows, no tile of scores is rounded or partitioned; ties stay."""
     rng = np.random.default_rng(3)
