@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.plans.skew import salted_join
-from millrace.session import ship, written
+from millrace.session import ship, shuffles_removed, written
 
 WORDS = 5  # of a shingle
 SHARE = 80  # percent: 100 * intersection >= SHARE * union
@@ -22,6 +22,7 @@ NAMED = 1 << 18  # pairs that a task remembers having named; those beyond are me
 MEMBERS = 512  # documents that are compared with one centre in a task
 PIECE = 1 << 20  # bytes of a text that are hashed at once
 STARS = (1, 8)  # centres of a band that its documents are compared with, in rounds
+ROUNDS = 4  # parts of the shingles that are shuffled one after another
 BANDS, ROWS = 4, 4  # least hashes whose agreement makes two documents worth a first look
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -210,12 +211,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 def _star_pairs(looked: DataFrame, labels: DataFrame, stars: int) -> DataFrame:
     """Pairs of a class with up to ``stars`` centres of each of its bands, where no link joins them yet.
 
-    Centres are the least by as many hashes, so a band of very many classes is a row per task before the shuffle.
+    Centres are the least by as many hashes, and looked for in bands of several components alone.
     """
     known = looked.join(labels, looked["c"] == labels["node"], "left")
     known = known.select("band", "c", F.coalesce("component", "c").alias("component"))
     least = [F.min(F.struct(F.xxhash64("c", F.lit(k)), "c", "component")).alias(f"s{k}") for k in range(stars)]
-    bands = known.groupBy("band").agg(*least, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    # Two numbers of a band are sent to tell; its centres are some 400 bytes.
+    several = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    bands = known.join(several.select("band"), "band").groupBy("band").agg(*least)
     bands = bands.select("band", F.explode(F.array_distinct(F.array(*(f"s{k}" for k in range(stars))))).alias("s"))
     met = known.join(bands, "band").where("s.component != component")
     return met.select(F.least("c", "s.c").alias("b"), F.greatest("c", "s.c").alias("a")).select("a", "b").distinct()
@@ -263,21 +266,23 @@ def _tile_pairs(rows: list[tuple], share: int):
             yield int(min(c[x], c[y])), int(max(c[x], c[y]))
 
 
-def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, share: int) -> DataFrame:
-    """Pairs of classes in different components that sizes and bitmaps don't rule out.
+def _meetings(known: DataFrame, profiles: DataFrame, share: int, part: int) -> DataFrame:
+    """Documents (``sig, size, c, at, n, component, lead``) of groups that meet by shingles of one of ``ROUNDS`` parts.
 
-    Linked sets share one of their least shingles, so documents meet by those. Shingles with the same documents
-    are one group; a group inside one component is done with, and so is a document whose neighbours by size in a
-    group are of no compatible size. Groups are cut by set size into bands of ``TILE`` documents, and bands whose
-    sizes are compatible meet as tiles. Bitmaps join their documents in the tiles alone.
+    Where a shingle is the first that two sets have in common, its places in them bound the intersection, as in
+    :func:`_tile_pairs`. ``most`` is so the size of the largest set that a document can be linked with by it. A row
+    stays if a smaller set may reach its size, or the next larger one is in its own reach; in a group of two, both
+    sizes have to be in reach.
     """
-    known = classes.join(labels, classes["c"] == labels["node"], "left")
-    known = known.select("c", "n", F.coalesce("component", "c").alias("component"))
-    postings = profiles.select(F.col("row").alias("c"), "least").join(known, "c")
-    postings = postings.select("c", "n", "component", F.posexplode("least").alias("at", "shingle"))
+    mine = lambda s: F.pmod(s, F.lit(ROUNDS)) == part
+    places = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: mine(F.get("least", i)))
+    least = profiles.where("least is not null").select(F.col("row").alias("c"), places.alias("places"), F.filter("least", mine).alias("least"))
+    postings = least.join(known, "c").select("c", "n", "component", "places", F.posexplode("least").alias("i", "shingle"))
+    postings = postings.select("c", "n", "component", F.get("places", "i").alias("at"), "shingle")
+    most = F.expr(f"{100 + share} * (n - at) div {share} - n")
     by_size = Window.partitionBy("shingle").orderBy("n")
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = postings.withColumns(
+    met = postings.withColumn("most", most).withColumns(
         {
             "lo": F.min("component").over(whole),
             "hi": F.max("component").over(whole),
@@ -286,13 +291,30 @@ def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, shar
             "lead": F.min("c").over(whole),
             "below": F.lag("n").over(by_size),
             "above": F.lead("n").over(by_size),
+            "reach": F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)),
+            "back": F.lead("most").over(by_size),
         }
     )
-    fits = F.expr(f"lo != hi and (100 * below >= {share} * n or 100 * n >= {share} * above)")
-    met = met.where(fits).groupBy("sig", "size", "c").agg(
-        F.min("at").alias("at"), F.first("n").alias("n"), F.first("component").alias("component"), F.first("lead").alias("lead")
+    smaller = "reach >= n and (size > 2 or most >= below)"
+    larger = "most >= above and (size > 2 or back >= n)"
+    met = met.where(f"lo != hi and ({smaller} or {larger})")
+    return met.groupBy("sig", "size", "c").agg(F.min("at").alias("at"), *(F.first(k).alias(k) for k in ("n", "component", "lead")))
+
+
+def _candidates(classes: DataFrame, profiles: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """Pairs of classes in different components that sizes and bitmaps don't rule out.
+
+    Linked sets share one of their least shingles, so documents meet by those. Shingles with the same documents
+    are one group; a group inside one component is done with, and so is a document that none of a group may be linked
+    with (:func:`_meetings`, for a part of the shingles at a time, which bounds the disk). Groups are cut by set size into bands of ``TILE`` documents, and bands whose
+    sizes are compatible meet as tiles. Bitmaps join their documents in the tiles alone.
+    """
+    known = classes.join(labels, classes["c"] == labels["node"], "left")
+    known = known.select("c", "n", F.coalesce("component", "c").alias("component"))
+    met = [written(_meetings(known, profiles, share, r), "groups") for r in range(ROUNDS)]
+    met = functools.reduce(DataFrame.unionAll, met).groupBy("sig", "size", "c").agg(
+        F.min("at").alias("at"), *(F.first(k).alias(k) for k in ("n", "component", "lead"))
     )
-    met = written(met, "groups")
     # The rank in a group decides nothing but the cut into bands.
     rank = F.row_number().over(Window.partitionBy("sig", "size").orderBy("n", "c"))
     banded = met.withColumn("part", F.when(F.col("size") > TILE, F.floor((rank - 1) / TILE)).otherwise(0))
@@ -337,6 +359,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     64-bit hashes of shingles. Texts are read three times at most, twice for documents that may be linked alone.
     """
     ship(docs.sparkSession)
+    with shuffles_removed(docs.sparkSession):
+        return _components(docs, words, share)
+
+
+def _components(docs: DataFrame, words: int, share: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = written(_profiles(docs, words, share).withColumn("row", F.monotonically_increasing_id()), "profiles")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")

@@ -443,6 +443,24 @@ def test_jaccard_without_stars(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, texts)).collect())) == brute_components(texts)
 
 
+def test_jaccard_meetings_are_in_reach(spark):
+    """Two sets of ten whose first common shingle is their third can't be linked; by their second, they can."""
+    rows = [(1, [-9, -8, 5]), (2, [-7, -6, 5]), (3, [-5, 6, 7]), (4, [-4, 6, 9]), (5, [-3, 8, 10]), (6, [-2, 8, 11])]
+    profiles = spark.createDataFrame([*rows, (7, None)], "row long, least array<long>")
+    known = spark.createDataFrame([(c, 10, 5 if c == 6 else c) for c in range(1, 7)], "c long, n long, component long")
+    met = [r for part in range(jaccard.ROUNDS) for r in jaccard._meetings(known, profiles, 80, part).collect()]
+    assert sorted((r["c"], r["at"], r["size"], r["lead"]) for r in met) == [(3, 1, 2, 3), (4, 1, 2, 3)]
+
+
+def test_jaccard_leaves_no_shuffle_files(spark, monkeypatch):
+    key, seen, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda *a: seen.append((a[1], spark.conf.get(key, None))) or write(*a))
+    before = spark.conf.get(key, None)
+    assert jaccard.jaccard_components(docs(spark, [(1, "a b c"), (2, "a b c"), (3, "d")])).count() == 3
+    assert {v for _, v in seen} == {"true"} and spark.conf.get(key, None) == before
+    assert [k for k, _ in seen].count("groups") == jaccard.ROUNDS
+
+
 def test_jaccard_edges(spark):
     got = jaccard.jaccard_components(docs(spark, [*EDGES, (None, "one two"), (9, "one two")])).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(
