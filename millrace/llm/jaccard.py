@@ -6,6 +6,7 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MEMBERS = 512  # documents that are compared with one centre in a task
 PIECE = 1 << 20  # bytes of a text that are hashed at once
 STARS = (1, 8)  # centres of a band that its documents are compared with, in rounds
 ROUNDS = 4  # parts of the shingles that are shuffled one after another
+MARKED = 1 << 23  # dropped ids that a bitmap may stand for
+MARK_BITS = 16  # of it for each of them, at least
 BANDS, ROWS = 4, 4  # least hashes whose agreement makes two documents worth a first look
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -402,8 +405,39 @@ def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> Data
     Rows that repeat a kept id give one row. Rows without an id can't be told apart and stay, all of them.
     """
     found = jaccard_components(docs, words, share)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    chosen = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.where("rows > 1").limit(1).count():
+    rows = F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("long")).alias("rows")
+    verdicts = written(found.where("doc_id is not null").groupBy("doc_id").agg(rows), "verdicts")
+    chosen = _kept(docs, verdicts).select(*docs.columns)
+    if verdicts.where("rows > 1").limit(1).count():
         chosen = chosen.dropDuplicates(["doc_id"])
     return chosen.unionAll(docs.where("doc_id is null"))
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id has ``rows`` in ``verdicts`` (``doc_id, rows``, which has every id); no text is shuffled.
+
+    Each dropped id sets two bits of a bitmap, which is sent with the kept ids that happen to have both set (one or
+    two in a hundred): a row stays if a bit is missing, or its id is one of those. More than ``MARKED`` dropped ids
+    are left out by a join, which shuffles the texts.
+    """
+    kept, dropped = verdicts.where("rows > 0").select("doc_id"), verdicts.where("rows = 0").select("doc_id")
+    n = dropped.count()
+    if n > MARKED:
+        return docs.join(kept, "doc_id", "left_semi")
+    size = max(64, 1 << (MARK_BITS * n - 1).bit_length()) if n else 64
+    places = [F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(k)), F.lit(size)) for k in range(2)]
+    bits = dropped.select(F.explode(F.array(*places)).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+    filled = bits.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.int64)
+    bitmap[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(a: pd.Series, b: pd.Series) -> pd.Series:
+        has = [(shared.value[x >> 6] >> (x & 63)) & 1 for x in (a.to_numpy(), b.to_numpy())]
+        return pd.Series((has[0] & has[1]).astype(bool))
+
+    doubted = kept.where(marked(*places)).withColumn("_kept", F.lit(True))
+    rows = docs.where("doc_id is not null").withColumn("_marked", marked(*places))
+    return rows.join(F.broadcast(doubted), "doc_id", "left").where("not _marked or _kept")

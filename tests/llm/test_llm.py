@@ -461,6 +461,17 @@ def test_jaccard_leaves_no_shuffle_files(spark, monkeypatch):
     assert [k for k, _ in seen].count("groups") == jaccard.ROUNDS
 
 
+@pytest.mark.parametrize("limit, value", [("MARKED", 0), ("MARK_BITS", 1), ("MARK_BITS", 16)])
+def test_one_of_each_shuffles_no_texts(spark, monkeypatch, limit, value):
+    """Kept ids that look like dropped ones stay, and no join deals the texts."""
+    monkeypatch.setattr(jaccard, limit, value)
+    ids = [*range(-300, 300), 1 << 60]
+    verdicts = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id long, rows long")
+    found = jaccard._kept(docs(spark, [(i, f"t{i}") for i in [*ids, 9]]), verdicts)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(i for i in [*ids, 9] if i % 3 == 0)
+    assert limit == "MARKED" or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_edges(spark):
     got = jaccard.jaccard_components(docs(spark, [*EDGES, (None, "one two"), (9, "one two")])).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(
