@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import functions as F
 
 from conftest import make_queries, make_store, rows
@@ -75,6 +76,43 @@ def test_probing_all_cells_is_exact(spark, monkeypatch, random_vectors, random_q
     assert rows(near, "query_id", "rank", "chunk_id", order=lambda t: t) == brute_topk(random_vectors, random_queries, 4)
 
 
+def test_query_blocks_go_one_after_the_other(spark, monkeypatch, random_vectors, random_queries):
+    """One block of queries is held at a time, also where one id (or none) has more rows than a block."""
+    twice = [("v001", random_vectors[1][1]), (None, random_vectors[2][1])]
+    same = [(i, [float(v % 5), 1.0, 0.0, 0.0, 2.0, -1.0]) for i in (7, None) for v in range(11)]
+    store, asked = frames_of(spark, random_vectors + twice, random_queries + same)
+    store = store.withColumn("text", F.concat(F.lit("text of "), "chunk_id"))
+    live, most = set(), []
+    send, drop = SparkContext.broadcast, Broadcast.destroy
+
+    def sent(context, value):
+        out = send(context, value)
+        live.add(id(out))
+        most.append((len(live), len(value[0])))
+        return out
+
+    def dropped(self, *a):
+        live.discard(id(self))
+        return drop(self, *a)
+
+    got = {}
+    for limit in (1000, 8):
+        monkeypatch.setattr(vector, "MAX_QUERY_VALUES", 6 * limit)
+        with monkeypatch.context() as spied:
+            spied.setattr(SparkContext, "broadcast", sent)
+            spied.setattr(Broadcast, "destroy", dropped)
+            most.clear()
+            live.clear()
+            near = vector.vector_topk(store, asked, 4, carry=("text",))
+        if limit == 8:
+            assert len(most) >= len(random_queries + same) / 8
+            assert all(held == 1 and n <= 8 for held, n in most) and not live
+            plan = near._jdf.queryExecution().toString()
+            assert "MapInArrow" not in plan and "Union" not in plan
+        got[limit] = rows(near, "query_id", "rank", "chunk_id", "text"), near.columns
+    assert got[8] == got[1000]
+
+
 def test_approximate_recall(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = v.select(F.col("vec_id").alias("query_id"), "embedding")
